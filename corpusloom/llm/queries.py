@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, sharding, token_counts
+from corpusloom.llm import chat_format, decontaminate, language_id, line_dedup, sharding, token_counts, toxicity
 from corpusloom.llm._common import table
 
 SHARDS = 16
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.md5("text").alias("text_md5"))
+
+
+OP1_SQL = f"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
+b AS (SELECT trim(line, ' ') AS line, min(doc_id) AS keep FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+d AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+k AS (SELECT d.*, b.line IS NOT NULL AND d.doc_id <> b.keep AS gone FROM d LEFT JOIN b ON trim(d.line, ' ') = b.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_md5
+FROM k GROUP BY doc_id
+"""
+
+
+def _remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(docs.where(_remainder(3) != 1), labels.where(_remainder(3) != 1))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages", "passage_from", "passage_to")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -40,15 +67,33 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    return language_id.fit_language_model(docs.where(_remainder(4) != 2).select("doc_id", "text", "lang"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
     "op6_sharding": op6_sharding,
+    "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
+    "op9_decontamination": op9_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL}
