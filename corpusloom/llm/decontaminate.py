@@ -57,10 +57,9 @@ def seeds(items: DataFrame) -> DataFrame:
 
 def _agreeing(window_start: Column) -> Column:
     """Agreeing words in the window that begins at this place of ``around``."""
-    at = F.col("i") - F.col("lead")
     return F.aggregate(
         F.sequence(window_start, window_start + F.col("window") - 1), F.lit(0),
-        lambda acc, k: acc + F.coalesce(F.get("h", at + k) == F.get("around", k), F.lit(False)).cast("int"),
+        lambda acc, k: acc + F.coalesce(F.get("there", k) == F.get("around", k), F.lit(False)).cast("int"),
     )
 
 
@@ -79,9 +78,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     passes = max(1, -(-all_seeds.count() // SEEDS_A_PASS))
     lengths = sorted(r.n for r in prepared.where(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect())  # SPAN - SHORTEST at most
 
-    hashed = docs.select(F.col(key).alias("k"), word_hashes(F.col(text)).alias("h")).where(F.size("h") >= SHORTEST)
-    n = F.size("h")
-    windows = hashed.select("k", "h", F.explode(F.sequence(F.lit(0), n - SHORTEST)).alias("i"))
+    hashed = docs.select(F.col(key).alias("k"), word_hashes(F.col(text)).alias("h"))
+    windows = hashed.select("k", "h", F.explode(_positions(F.size("h"), SHORTEST)).alias("i"))
     tried = [_seed(F.col("h"), F.col("i"), m) for m in MASKS]  # a seed beyond the end has nulls: it hits nothing that agrees
     tried += [F.xxhash64(F.lit("whole"), F.slice("h", F.col("i") + 1, m)) for m in lengths]
     tried = windows.select("k", "h", "i", F.explode(F.array(*tried)).alias("seed"))
@@ -90,12 +88,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     for p in range(passes):
         block = all_seeds.where(F.pmod("block", F.lit(passes)) == p).drop("block")
         hits = tried.join(F.broadcast(block), "seed")  # at most about SEEDS_A_PASS rows, however large the benchmark
-        starts = F.sequence(F.lit(0), F.greatest(F.least(F.col("lead"), F.size("around") - F.col("window")), F.lit(0)))
-        best = hits.select("k", "item", "i", "j", "window", F.array_max(F.transform(starts, _agreeing)).alias("matched"))
-        passed = best.where(F.col("matched") >= F.ceil(F.col("window") * AGREE))
-        found = passed if found is None else found.unionByName(passed)
-    one = found.groupBy("k", "item", "i", "j", F.least("window", F.lit(SPAN)).alias("span")).agg(F.max("matched").alias("matched"))
-    pairs = one.groupBy("k", "item").agg(F.count("*").alias("n_hits"), F.max("matched").alias("matched"), F.min("i").alias("doc_from"), F.max(F.col("i") + F.col("span") - 1).alias("doc_to"))
+        # null in ``there``, the document's words beside ``around``, is a place outside the document
+        before = F.greatest(F.col("lead") - F.col("i"), F.lit(0))
+        there = F.concat(F.array_repeat(F.lit(None).cast("long"), before), F.slice("h", F.greatest(F.col("i") - F.col("lead"), F.lit(0)) + 1, F.size("around") - before))
+        near = hits.select("k", "item", "i", "j", "window", "lead", "around", there.alias("there"))
+        found = near if found is None else found.unionByName(near)
+    # one row for each place that any mask hits; what is verified above this aggregation cannot move into the join, which
+    # has to stay in one generated stage with the positions: rows that leave that stage carry no whole document
+    places = found.groupBy("k", "item", "i", "j", "window", "lead").agg(F.first("around").alias("around"), F.first("there").alias("there"))
+    starts = F.sequence(F.lit(0), F.greatest(F.least(F.col("lead"), F.size("around") - F.col("window")), F.lit(0)))
+    best = places.select("k", "item", "i", "j", "window", F.array_max(F.transform(starts, _agreeing)).alias("matched"))
+    found = best.where(F.col("matched") >= F.ceil(F.col("window") * AGREE))
+    pairs = found.withColumn("span", F.least("window", F.lit(SPAN))).groupBy("k", "item").agg(F.count("*").alias("n_hits"), F.max("matched").alias("matched"), F.min("i").alias("doc_from"), F.max(F.col("i") + F.col("span") - 1).alias("doc_to"))
     named = prepared.select(F.col("w").alias("item"), F.col("item").alias("name"))
     return pairs.join(named, "item").select(F.col("k").alias(key), F.col("name").alias(item), "n_hits", "matched", "doc_from", "doc_to")
 
