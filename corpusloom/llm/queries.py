@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, sharding, token_counts, toxicity
+from corpusloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, packing, sharding, token_counts, toxicity, vector_search
 from corpusloom.llm._common import table
 
 SHARDS = 16
@@ -63,6 +63,29 @@ FROM t GROUP BY conv_id
 """
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def n_words(text: Column) -> Column:
+    return F.when(F.trim(text) != "", F.size(F.split(F.trim(text), r"\s+"))).otherwise(0)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), n_words(F.col("text")), cluster=F.xxhash64("text"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -95,10 +118,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_top_k": OP4_SQL}
