@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom import config
 from corpusloom.functions import decode, losses, template, tokens
-from corpusloom.operators import evaluate, examples, schedule
+from corpusloom.operators import bpe, evaluate, examples, lm, schedule, train
 from corpusloom.session import table
 from corpusloom.sources import artifacts, jsonl
 
@@ -541,3 +541,59 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+# ---- byte-pair encoding and the network ----
+
+#: Small, so that the queries stay quick; the operators take any size.
+BPE_VOCAB = 400
+NETWORK = config.ModelConfig(dim=32, n_layers=2, n_heads=4, n_kv_heads=2, vocab_size=tokens.VOCAB, max_seq_len=64)
+
+
+@query(r"""SELECT token, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS token FROM documents) GROUP BY token""")
+def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL lacks the pattern's look-ahead, which matters only for runs of white space; the table has none."""
+    return bpe.pretoken_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab, merges = bpe.train(table(spark, sf_dir, "benchmark"), BPE_VOCAB)
+    rank = {a + b: i for i, (a, b) in enumerate(merges)}
+    return spark.createDataFrame([(t, i, rank.get(t)) for t, i in vocab.items()], "token string, id int, merge_rank int")
+
+
+@query("SELECT item_id, md5(text) AS text_md5, true AS shorter FROM benchmark")
+def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode again: the text comes back, in fewer ids than bytes."""
+    items = table(spark, sf_dir, "benchmark")
+    spec = bpe.tokenizer_json(*bpe.train(items, BPE_VOCAB))
+    back = bpe.decode(bpe.encode(items, spec, "text"), spec, "ids", "back")
+    return back.select("item_id", F.md5("back").alias("text_md5"), (F.size("ids") < F.octet_length("text")).alias("shorter"))
+
+
+def _prompts(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", examples.byte_tokens(template.wrap_text(F.col("text")), length).alias("ids"))
+
+
+@query(f"SELECT item_id, CAST(least({NETWORK.max_seq_len}, strlen(text) + 2) - 1 AS BIGINT) AS n_scored, true AS finite FROM benchmark")
+def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = evaluate.with_ppl(lm.score(_prompts(spark, sf_dir, NETWORK.max_seq_len), NETWORK, lm.init_params(NETWORK), "item_id"))
+    return scored.select("item_id", "n_scored", ((F.col("ppl") > 1) & (F.col("ppl") < float("inf"))).alias("finite"))
+
+
+@query()
+def generate_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight sampled tokens after each prompt, step by step."""
+    made = lm.generate_rows(_prompts(spark, sf_dir, 16), NETWORK, lm.init_params(NETWORK), "item_id", trace=True, max_new_tokens=8, seed=1)
+    return made.select("item_id", "step", F.element_at("ids", -1).alias("token_id"))
+
+
+@query()
+def train_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two updates of pretraining on the benchmark's texts: epoch, step, updates, rate, loss."""
+    ready = _prompts(spark, sf_dir, 32).select("item_id", examples.pretrain_example(F.col("ids"), 32).alias("e")).select("item_id", "e.*")
+    plan = schedule.batch_plan(ready, "item_id", 64, 1337)
+    _, _, log = train.train(ready, plan, "item_id", NETWORK, lm.init_params(NETWORK), learning_rate=5e-4)
+    return spark.createDataFrame(log, "epoch int, step int, global_step int, lr double, loss double")
