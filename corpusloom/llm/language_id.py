@@ -20,8 +20,9 @@ BUCKETS = 1 << 16
 DIM = 16
 #: Most labelled rows that training uses, in equal parts by language as far as there are.
 SAMPLE_ROWS = 3_000
-#: Share of right calibration predictions that rejection may cost.
+#: Share of right calibration predictions that rejection may cost, and the calibrated probability from which none is rejected.
 REJECT_SHARE = 0.001
+REJECT_BELOW = 0.5
 UNKNOWN = "und"
 #: Characters that are scored at once.
 BLOCK = 1 << 20
@@ -36,9 +37,9 @@ def alpha() -> np.ndarray:
     return _alpha
 
 
-def code_points(text: str) -> np.ndarray:
-    """Lower-cased letters as code points, all else as spaces, with a space on either side."""
-    cps = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def code_points(lowered: str) -> np.ndarray:
+    """Letters as code points, all else as spaces."""
+    cps = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return np.where(alpha()[cps], cps, np.uint32(32))
 
 
@@ -70,11 +71,10 @@ class Model:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            for at in range(0, len(text), BLOCK):  # blocks only bound memory: grams across them are counted once
-                cps = code_points(text[max(0, at - 2) : at + BLOCK])
-                for n, buckets in enumerate(gram_buckets(cps), 1):
-                    if at:  # grams that lie wholly in the two characters before, or at the block's artificial start
-                        buckets = buckets[3 - n + 1 :]
+            padded = f" {text.lower()} "
+            for at in range(0, len(padded), BLOCK):  # blocks only bound memory: each gram counts in the block it begins in
+                for buckets in gram_buckets(code_points(padded[at : at + BLOCK + 2])):
+                    buckets = buckets[:BLOCK]
                     grams[i] += np.count_nonzero(buckets)
                     sums[i] += self.table[buckets].sum(axis=0, dtype=np.float64)
         return sums / np.maximum(grams, 1)[:, None] + self.bias, grams > 0
@@ -90,13 +90,13 @@ class Model:
             if end == at + 1:
                 out[at:end], has[at:end] = self.logits(texts[at:end])
             else:
-                rows = [f"  {(t or '').lower()} " for t in texts[at:end]]
-                starts = np.cumsum([0, *map(len, rows)])[:-1]
-                cps = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                cps = np.where(alpha()[cps], cps, np.uint32(32))
-                sums, grams = 0.0, 0.0
-                for n, buckets in enumerate(gram_buckets(np.append(cps, [np.uint32(32)] * 2)), 1):
-                    buckets = buckets[: len(cps)]
+                rows = [f" {(t or '').lower()} " for t in texts[at:end]]
+                ends = np.cumsum([len(r) for r in rows])
+                starts, sums, grams = np.concatenate([[0], ends[:-1]]), 0.0, 0.0
+                for n, buckets in enumerate(gram_buckets(np.append(code_points("".join(rows)), [np.uint32(32)] * 2)), 1):
+                    buckets = buckets[: ends[-1]]
+                    for over in range(1, n):  # grams that reach into the next text
+                        buckets[ends - over] = 0
                     sums = sums + np.add.reduceat(self.table[buckets], starts, axis=0, dtype=np.float64)
                     grams = grams + np.add.reduceat((buckets != 0).astype(np.int64), starts)
                 out[at:end], has[at:end] = sums / np.maximum(grams, 1)[:, None] + self.bias, grams > 0
@@ -139,7 +139,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     samples = []
     for i in fit:
         for w in windows(rows[i][0]):
-            ids, n = np.unique(np.concatenate(gram_buckets(code_points(w))), return_counts=True)
+            ids, n = np.unique(np.concatenate(gram_buckets(code_points(f" {w.lower()} "))), return_counts=True)
             ids, n = ids[ids > 0], n[ids > 0]
             if len(ids):
                 samples.append((ids, (n / n.sum()).astype(np.float32), rows[i][1]))
@@ -167,7 +167,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
         model.temperature = float(min(losses, key=losses.get))
         p = softmax(logits / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y]
-        model.threshold = float(np.quantile(right, REJECT_SHARE)) if len(right) else 0.0
+        model.threshold = min(REJECT_BELOW, float(np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
     return model
 
 

@@ -100,6 +100,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
 
 
+#: The checksum's table follows from its polynomial; a shard is the one whose hash with the key is largest, as weights are equal.
+OP6_SQL = f"""
+WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+b AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+y AS (SELECT doc_id, strlen(text) + 1 AS size, list_transform(range(0, strlen(text)), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS BIGINT)) AS bytes FROM b),
+c AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc FROM y, tab),
+h AS (SELECT *, list_transform(range(0, {SHARDS + 1}), lambda s: CAST('0x' || substr(md5('k' || doc_id || ':' || s), 1, 13) AS BIGINT)) AS u FROM c),
+a AS (SELECT *, CAST(list_position(u, list_max(list_slice(u, 1, {SHARDS}))) - 1 AS INTEGER) AS shard, CAST(list_position(u, list_max(u)) - 1 AS INTEGER) AS grown_shard,
+  CAST('0x' || substr(md5(doc_id || ':' || crc || ':' || size), 1, 13) AS BIGINT) AS o FROM h)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY o, doc_id, crc, size) - 1 AS slot, grown_shard FROM a
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,6 +124,47 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op9_sql() -> str:
+    span, window = decontaminate.SPAN, decontaminate.WINDOW
+
+    def keys(at: str) -> str:
+        masks = [[o + 1 for o, bit in enumerate(m) if bit == "1"] for m in decontaminate.MASKS]
+        return "[" + ", ".join(f"'{n}:' || concat_ws(' ', {', '.join(f'w[{at} + {o}]' for o in m)})" for n, m in enumerate(masks)) + "]"
+
+    split = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, {split} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, {split} AS w FROM benchmark WHERE text IS NOT NULL),
+di AS (SELECT doc_id, w, unnest(range(0, len(w) - {span} + 1)) AS i FROM d), bj AS (SELECT item_id, w, unnest(range(0, len(w) - {span} + 1)) AS j FROM b),
+dk AS (SELECT doc_id, i, unnest({keys('i')}) AS k FROM di), bk AS (SELECT item_id, j, unnest({keys('j')}) AS k FROM bj),
+hit AS (SELECT DISTINCT doc_id, item_id, i, j FROM dk JOIN bk USING (k)),
+v AS (SELECT doc_id, item_id, i, j, least(len(b.w), {window}) AS win, greatest(j - {window - span}, 0) AS lo, least(j, greatest(len(b.w) - least(len(b.w), {window}), 0)) AS hi, d.w AS dw, b.w AS bw FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
+m AS (SELECT doc_id, item_id, i, j, win, list_max(list_transform(range(lo, hi + 1), lambda s: len(list_filter(range(s, s + win), lambda p: i - j + p >= 0 AND dw[i - j + p + 1] = bw[p + 1])))) AS matched FROM v)
+SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(matched) AS INTEGER) AS matched, CAST(min(i) AS INTEGER) AS doc_from, CAST(max(i) + {span - 1} AS INTEGER) AS doc_to
+FROM m WHERE matched >= ceil(win * {decontaminate.AGREE}) GROUP BY doc_id, item_id
+UNION ALL
+SELECT doc_id, item_id, count(*), CAST(n AS INTEGER), CAST(min(i) AS INTEGER), CAST(max(i) + n - 1 AS INTEGER) FROM (
+  SELECT doc_id, item_id, len(b.w) AS n, unnest(list_filter(range(0, len(d.w) - len(b.w) + 1), lambda i: list_slice(d.w, i + 1, i + len(b.w)) = b.w)) AS i
+  FROM d, (SELECT * FROM b WHERE len(w) BETWEEN {decontaminate.SHORTEST} AND {span - 1}) b) GROUP BY doc_id, item_id, n
+"""
+
+
+OP10_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN NULL ELSE array_to_string(w, ' ') END AS c, w FROM t),
+c AS (SELECT c, any_value(w) AS w, min(doc_id) AS rep, count(*) AS n FROM d WHERE c IS NOT NULL GROUP BY c),
+x AS (SELECT row_number() OVER (ORDER BY rep, c) AS id, * FROM c),
+s AS (SELECT id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM x),
+e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+r AS (SELECT id, id AS root FROM x UNION SELECT p.v, r.root FROM r JOIN p ON p.u = r.id),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+k AS (SELECT m.root, min(x.rep) AS class_id FROM m JOIN x USING (id) GROUP BY m.root),
+l AS (SELECT u AS id, count(*) AS n_links FROM p GROUP BY u)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links, coalesce(x.n - 1, 0) AS n_copies
+FROM d LEFT JOIN x ON d.c = x.c LEFT JOIN m ON m.id = x.id LEFT JOIN k ON k.root = m.root LEFT JOIN l ON l.id = x.id
+"""
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -126,4 +181,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_top_k": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op6_sharding": OP6_SQL, "op9_decontamination": _op9_sql(), "op10_ngram_jaccard_join": OP10_SQL}
