@@ -179,4 +179,4 @@ def rate_at(step: int, total: int, lr: float, warmup_ratio: float = 0.1) -> floa
     warm, s = int(total * warmup_ratio), max(1, min(step, total))
     if warm and s <= warm:
         return lr * s / warm
-    return 0.1 * lr + 0.45 * lr * (1 + np.cos(np.pi * (s - warm) / max(1, total - warm)))
+    return float(0.1 * lr + 0.45 * lr * (1 + np.cos(np.pi * (s - warm) / max(1, total - warm))))
