@@ -399,10 +399,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     first = rows.where("cid is not null").join(texts.select("cid", "class_id"), "cid").where(F.col("k").eqNullSafe(F.col("class_id")))
     # of rows that share the class's smallest key, the one with the smallest text hash
     chosen = first.groupBy("class_id").agg(F.min("tk").alias("_tk"), F.count("*").alias("_n"))
-    own = docs.withColumn("_own", F.xxhash64(text))
-    marked = own.join(chosen, (F.col("_own") == F.col("_tk")) & F.col(key).eqNullSafe(F.col("class_id")), "left")
-    worded = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")) > 0
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("own"), F.col(key).alias("k"), F.col(text).alias("t"))
+    marked = own.join(chosen, (F.col("own") == F.col("_tk")) & F.col("k").eqNullSafe(F.col("class_id")), "left")
+    worded = F.size(F.filter(F.split(F.coalesce("t", F.lit("")), r"\s+"), lambda w: w != "")) > 0
     kept = marked.where(F.col("_n").isNotNull() | ~worded)
-    single = kept.where(F.coalesce("_n", F.lit(1)) == 1).select(*docs.columns)
-    repeated = kept.where(F.col("_n") > 1).dropDuplicates([key, text]).select(*docs.columns)
+    single = kept.where(F.coalesce("_n", F.lit(1)) == 1).select("row.*")
+    repeated = kept.where(F.col("_n") > 1).dropDuplicates(["k", "own"]).select("row.*")
     return single.unionByName(repeated)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -187,23 +188,26 @@ def fit_language_model(labelled: DataFrame, text: str = "text", lang: str = "lan
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lang_pred``, ``_score`` (0 to 1) and ``_rejected``; rows stay where they are.
+    """``row, lang_pred, score, rejected``: each row of ``docs`` as a struct, so that no name can clash, with its
+    language, calibrated probability (0 to 1) and whether it is rejected. Rows stay where they are.
 
-    Texts that are null or have no letter are ``und`` with score 0, rejected.
+    Texts that are null or have no letter are ``und`` with score 0, rejected; so is every row if the model knows no language.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
-    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
+
+    # the text goes beside the other columns, not twice
+    rest = [f for f in docs.schema.fields if f.name != text]
+    kept = F.struct(*[F.col(f"`{f.name}`") for f in rest]) if rest else F.struct(F.lit(True).alias("none"))
+    shaped = docs.select(kept.alias("row"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             for at in range(0, max(1, b.num_rows), 512):
                 part = b.slice(at, 512)
-                langs, score, rejected = m.predict(part.column(names.index(text)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "_lang_pred", "_score", "_rejected"])
-
-    from pyspark.sql import types as T
+                langs, score, rejected = m.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["row", "t", "lang_pred", "score", "rejected"])
 
-    out = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])
-    return docs.mapInArrow(run, out)
+    schema = T.StructType([*shaped.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    out = shaped.mapInArrow(run, schema)
+    return out.select(F.struct(*[F.col("t").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]).alias("row"), "lang_pred", "score", "rejected")

@@ -52,7 +52,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", site: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with cleaned text, and ``_n_lines`` and ``_n_removed`` (bigint) beside its columns.
+    """``row, n_lines, n_removed``: each row of ``docs`` as a struct with cleaned text (so that no name can clash), how
+    many lines it had, and how many are gone.
 
     All rows stay, also those left without a line (text ``''``). Null and empty texts stay as they
     are with 0 lines. Rows that repeat an id keep a line alike. Blank lines are never removed. A null
@@ -69,9 +70,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id"
         .groupBy("k1", "k2").agg(F.collect_set("h1").alias("gone"))
         .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("gone").alias("_gone"))
     )
-    joined = docs.withColumns({"_a1": k1, "_a2": k2}).join(removed, (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2")), "left")
-    kept = F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_gone"), _h1(x)))
-    n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(_lines(F.col(text))))
-    out = joined.withColumns({"_kept": F.when(F.col("_gone").isNotNull(), kept), "_n_lines": n_lines.cast("long")})
-    columns = [F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return out.select(*columns, "_n_lines", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")).cast("long").alias("_n_removed"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("_a1"), k2.alias("_a2"))
+    joined = whole.join(removed, (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2")), "left")
+    old = F.col("row")[text]
+    kept = F.filter(_lines(old), lambda x: ~F.array_contains(F.col("_gone"), _h1(x)))
+    n_lines = F.when(F.coalesce(old, F.lit("")) == "", 0).otherwise(F.size(_lines(old))).cast("long")
+    out = joined.select("row", F.when(F.col("_gone").isNotNull(), kept).alias("kept"), n_lines.alias("n_lines"))
+    clean = F.when(F.col("kept").isNull(), old).otherwise(F.array_join("kept", "\n"))
+    columns = [clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(F.struct(*columns).alias("row"), "n_lines", F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"))

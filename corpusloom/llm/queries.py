@@ -16,7 +16,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return clean.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.md5("text").alias("text_md5"))
+    return clean.select("row.doc_id", "n_lines", "n_removed", F.md5("row.text").alias("text_md5"))
 
 
 OP1_SQL = f"""
@@ -97,7 +97,7 @@ def language_model(docs: DataFrame) -> language_id.Model:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
-    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    return found.select("row.doc_id", "lang_pred", "score", "rejected").select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 #: The checksum's table follows from its polynomial; a shard is the one whose hash with the key is largest, as weights are equal.

@@ -50,10 +50,10 @@ def test_tables(spark):
     rows = [(i, t, y) for i, (t, y) in enumerate(texts(30, 4))] + [(900, "kato", None), (901, None, "xx"), (5, "wald grund", "yy")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("mine"))
     out = li.identify(df, li.fit_language_model(df)).collect()
-    assert len(out) == len(rows) and all(r.score == "mine" for r in out)
-    assert {r._lang_pred for r in out if r.doc_id == 901} == {"und"} and np.mean([r._lang_pred == r.lang for r in out if r.lang and r.text]) > 0.95
+    assert len(out) == len(rows) and all(r.row.score == "mine" for r in out)
+    assert {r.lang_pred for r in out if r.row.doc_id == 901} == {"und"} and np.mean([r.lang_pred == r.row.lang for r in out if r.row.lang and r.row.text]) > 0.95
     empty = li.fit_language_model(df.where("lang is null"))
-    assert li.identify(df, empty).where("_rejected").count() == len(rows)
+    assert li.identify(df, empty).where("rejected").count() == len(rows)
     assert li.identify(df.limit(0), empty).count() == 0
 
 

@@ -32,15 +32,15 @@ def test_against_brute_force(spark):
         rows.append((k, f"s{rng.randrange(25)}", "\n".join(lines)))
     rows += [(500, None, "common line 1"), (501, "s3", None), (502, "s4", ""), (503, "s5", "\n\n"), (None, "s6", "common line 1\nnull id"), (3, "s7", rows[3][2]), (3, "s7", rows[3][2])]
     rows += [(600 + i, f"s{i % 2}", "seen on two sites only") for i in range(60)] + [(800 + i, f"t{i}", " padded  \nrest") for i in range(14)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("line", F.lit("x")).withColumn("h1", F.lit(1))
-    got = sorted([(r.doc_id, r.text, r._n_lines, r._n_removed) for r in ld.dedup_lines(df, 10).collect()], key=str)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("line", F.lit("x")).withColumn("h1", F.lit(1)).withColumn("_gone", F.lit("g")).withColumn("n_lines", F.lit("n"))
+    got = sorted([(r.row.doc_id, r.row.text, r.n_lines, r.n_removed) for r in ld.dedup_lines(df, 10).collect()], key=str)
     assert got == brute_force(rows, 10)
-    assert ld.dedup_lines(df).columns == [*df.columns, "_n_lines", "_n_removed"]
+    assert ld.dedup_lines(df).select("row.*").columns == df.columns
     assert ld.dedup_lines(df.limit(0)).count() == 0
 
 
 def test_estimates_far_from_the_threshold_are_enough(spark):
     rows = [(i, f"s{i}", "everywhere") for i in range(500)] + [(1000 + i, f"s{i}", "near") for i in range(9)] + [(2000 + i, f"s{i}", "just") for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    left = {r.text for r in ld.dedup_lines(df, 10).where("doc_id not in (0, 2000)").collect()}
+    left = {r.row.text for r in ld.dedup_lines(df, 10).where("row.doc_id not in (0, 2000)").collect()}
     assert left == {"", "near"}
