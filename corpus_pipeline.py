@@ -12,14 +12,14 @@ from corpusloom.llm._common import staged, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the calibrated rejection turns away go."""
     known = language_id.identify(docs, queries.language_model(docs))
-    return known.where(~F.col("_rejected")).select(*docs.columns)
+    return known.where(~F.col("rejected")).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate; those that had nothing else go."""
     clean = line_dedup.dedup_lines(docs)
-    kept = clean.where((F.col("_n_removed") == 0) | (F.trim("text") != ""))
-    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    kept = clean.where((F.col("n_removed") == 0) | (F.trim("row.text") != ""))
+    return kept.select(*[F.length("row.text").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
