@@ -154,14 +154,14 @@ def _log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> list:
     return scored.where(F.col("z") >= F.when(F.col("kind") == 0, Z_MIN).otherwise(Z_MIN_PREFIX)).orderBy(F.desc("z"), "kind", "token").limit(MODEL_TOKENS).collect()
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton steps for a logistic curve through (x, y), with a weak ridge so that separable data end."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Newton steps for a logistic curve through weighted (x, y), with a weak ridge so that separable data end."""
     a = np.column_stack([x, np.ones_like(x)])
     w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + 1e-2 * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
+        g = a.T @ (weight * (p - y)) + 1e-2 * w
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -221,21 +221,42 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     shared = spark.sparkContext.broadcast(first)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with a segment one by one; of the others, and of clean tokens by score, one summary a partition."""
         m = shared.value
+        bare, tokens_by_score = {0: [0, 0], 1: [0, 0]}, Counter()
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "y", "m", "n", "s"])
+
         for b in batches:
-            texts = b.column(0).to_pylist()
-            rows = [m.segments(t) for t in texts]
-            single = [[s for s in map(m._scores.__getitem__, tokens(t)) if s > 0] if y <= 0 else [] for t, y in zip(texts, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([[s for *_, s in found] for found, _ in rows], pa.list_(pa.float64())), pa.array([n for _, n in rows], pa.int64()), pa.array(single, pa.list_(pa.float64()))], names=["y", "s", "n", "w"])
-
-    unseen = sample.where("fold = 1")
-    seen = unseen.select("t", "y").mapInArrow(scan, "y int, s array<double>, n long, w array<double>").collect()  # a few numbers for at most ``rows`` rows
-    if not seen:
+            out = []
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found, n = m.segments(t)
+                y = int(y > 0)
+                if not y:
+                    tokens_by_score.update(round(s, 1) for s in map(m._scores.__getitem__, tokens(t)) if s > 0)
+                if found:
+                    out.append((0, y, 1, n, [s for *_, s in found]))
+                else:
+                    bare[y][0] += 1
+                    bare[y][1] += n
+            yield made(out)
+        yield made([(1, y, k, n, []) for y, (k, n) in bare.items()] + [(2, 0, 0, 0, [x for pair in tokens_by_score.items() for x in pair])])
+
+    seen = sample.where("fold = 1").select("t", "y").mapInArrow(scan, "kind int, y int, m long, n long, s array<double>").collect()  # few of at most ``rows`` rows
+    rows_seen = [r for r in seen if r.kind == 0]
+    bare = [r for r in seen if r.kind == 1 and r.m]
+    if not rows_seen and not bare:
         return first
-    clean = [r for r in seen if r.y <= 0]
-    hits, total = Counter(), sum(r.n for r in clean) + 1
-    for r in clean:
-        hits.update(round(s, 1) for s in r.w)
+    hits: Counter = Counter()
+    for r in seen:
+        if r.kind == 2:
+            hits.update(dict(zip(r.s[::2], map(int, r.s[1::2]), strict=True)))
+    clean = [r for r in rows_seen if not r.y]
+    n_bare, tokens_bare = sum(r.m for r in bare if not r.y), sum(r.n for r in bare if not r.y)
+    total = sum(r.n for r in clean) + tokens_bare + 1
     # lambda: the positive root of sum p(s) exp(lambda s) = 1 over clean tokens, each score having been met once more
     steps = [(s, (n + (s == MOST_SCORE)) / total) for s, n in (hits | Counter({MOST_SCORE: hits[MOST_SCORE]})).items()] or [(MOST_SCORE, 1 / total)]
     p0 = 1 - sum(p for _, p in steps)
@@ -244,14 +265,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         mid = (low + high) / 2
         low, high = (mid, high) if p0 * math.exp(DRIFT * mid) + sum(p * math.exp(s * mid) for s, p in steps) < 1 else (low, mid)
     lam = low
-    k = (len(clean) + 1) / (sum(max(r.n, 1) * math.exp(-lam * max(r.s, default=0.0)) for r in clean) + 1)  # most likely K for the maxima of clean rows
+    k = (len(clean) + n_bare + 1) / (sum(r.n * math.exp(-lam * max(r.s)) for r in clean) + tokens_bare + 1)  # most likely K for the maxima of clean rows
     model = Model(words, prefixes, lam, k)
 
     def evidence(r) -> float:
         strong = [lp for s in r.s if (lp := model.log_p(s, r.n)) <= math.log(P_PASSAGE)]
         return math.log1p(-sum(strong)) if strong else 0.0
 
-    slope, offset = _fit_logistic(np.array([evidence(r) for r in seen]), np.array([float(r.y > 0) for r in seen]))
+    fitted = [(evidence(r), r.y, 1) for r in rows_seen] + [(0.0, r.y, r.m) for r in bare]
+    slope, offset = _fit_logistic(*map(np.array, zip(*[map(float, x) for x in fitted], strict=True)))
     more_words, more_prefixes, *_ = log_odds(sample)  # the scores themselves come from all rows
     return Model(more_words or words, more_prefixes or prefixes, lam, k, max(slope, 1e-3), offset)
 
