@@ -26,7 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def staged(df: DataFrame, *sort: str) -> DataFrame:
+#: What this driver has staged, for :func:`clear_staged`.
+_written: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what :func:`staged` has written, once no result that was made from it is needed any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage durably: a lost executor rereads the files, and branches that use the result do not
@@ -35,4 +46,5 @@ def staged(df: DataFrame, *sort: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,21 +32,46 @@ def _tokenizer(path: str):
     return tok
 
 
+def odd_characters(tok, pattern: str) -> np.ndarray:
+    """By code point, whether the pattern might split it otherwise than the library does.
+
+    Every assigned character is tried between letters, digits, marks and spaces; those that are not
+    assigned count as odd. Blocks that split alike as a whole need no second look.
+    """
+    import regex
+
+    spans = regex.compile(pattern).finditer
+    level = tok.pre_tokenizer.pre_tokenize_str
+
+    def alike(chars: list[str]) -> bool:
+        text = "".join(f"a{c}b 1{c}2 !{c}? {c} \n{c}{c}x" for c in chars)
+        return [m.span() for m in spans(text)] == [at for _, at in level(text)]
+
+    odd = np.ones(0x110000, dtype=bool)
+    assigned = [c for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    for at in range(0, len(assigned), 128):
+        block = assigned[at : at + 128]
+        if alike([chr(c) for c in block]):
+            odd[block] = False
+        else:
+            odd[[c for c in block if alike([chr(c)])]] = False
+    return odd
+
+
 class PretokenCounter:
     """Counts tokens of whole texts as ``tokenizer.encode(text, add_special_tokens=False)`` does.
 
     First tier: the given table of frequent pre-tokens. Second tier: a cache of what this worker has
     encoded, emptied when it reaches ``CACHED`` entries. Special strings inside a text are one token
-    each, as the library's default has it. Texts with characters whose class the pre-token pattern
-    and the library might see differently go to the library whole.
+    each, as the library's default has it. Texts with an odd character (:func:`odd_characters`) go to the library whole.
     """
 
-    def __init__(self, path: str, pattern: str, frequent: dict[str, int]):
+    def __init__(self, path: str, pattern: str, frequent: dict[str, int], odd: np.ndarray | None = None):
         import regex
 
         self.tok = _tokenizer(path)
         self.find = regex.compile(pattern).findall
-        self.odd = regex.compile(r"[^\x00-\u02FF\u0370-\u0373\u0386-\u03FF\u0400-\u0482\u048A-\u052F\u2000-\u206E\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]|[\x1C-\x1F\x85]").search
+        self.table = odd_characters(self.tok, pattern) if odd is None else odd
         added = self.tok.get_added_tokens_decoder().values()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
             raise ValueError("added tokens that reach beyond their own string are not supported")
@@ -64,6 +91,9 @@ class PretokenCounter:
 
         self.lengths = Cache(frequent)
 
+    def odd(self, text: str) -> bool:
+        return bool(self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
     def count(self, text: str) -> int:
         if not text:
             return 0
@@ -110,10 +140,10 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, key
     gives an empty result.
     """
     spark = docs.sparkSession
-    lengths = spark.sparkContext.broadcast(frequent_lengths(docs, path, text))
+    tables = spark.sparkContext.broadcast((frequent_lengths(docs, path, text), odd_characters(_tokenizer(path), pattern)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PretokenCounter(path, pattern, lengths.value)
+        counter = PretokenCounter(path, pattern, *tables.value)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, max(1, batch.num_rows), 256):
