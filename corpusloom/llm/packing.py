@@ -2,8 +2,13 @@
 
 Documents are dealt to packing shards of about ``ITEMS_A_SHARD`` pieces. In a shard, pieces go longest
 first; open bins are ordered by what room they have left and carry bitmaps of the sources and duplicate
-clusters inside. A piece goes into the tightest bin that has room and neither its source nor its cluster: the search
-goes on from one residual to the next until such a bin is found, or opens a new bin.
+clusters inside. A piece goes into the tightest bin that has room, does not have its cluster, and has its source less
+often than the source's quota: the search goes on from one residual to the next until such a bin is
+found, or opens a new bin.
+
+A source's quota is 1, unless it has more pieces than the fewest bins that could hold the shard: then
+it is as many as fall on one such bin, rounded up. A source has as many bits as its quota, so a hot one
+does not leave bins half empty.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ class Bins:
         self.left: list[int] = []
 
     def find(self, need: int, source: int, cluster: int) -> int | None:
-        """The tightest compatible bin, of several the oldest; ``source`` and ``cluster`` are bits, or 0 for none."""
+        """The tightest compatible bin, of several the oldest; ``source`` are the source's bits, ``cluster`` the cluster's (0: none)."""
         ahead = self.filled >> need
         at = need
         while ahead:
@@ -41,7 +46,7 @@ class Bins:
             at += step
             found = None
             for bitmap, bins in self.open[at].items():
-                if not bitmap & source:
+                if not source or bitmap & source != source:
                     for b in bins:
                         if not self.clusters[b] & cluster:
                             found = b if found is None else min(found, b)
@@ -70,7 +75,8 @@ class Bins:
                     self.filled &= ~(1 << self.left[b])
         offset = self.capacity - self.left[b]
         self.left[b] -= need
-        self.sources[b] |= source
+        free = source & ~self.sources[b]
+        self.sources[b] |= free & -free
         self.clusters[b] |= cluster
         if self.left[b]:
             bins = self.open[self.left[b]].setdefault(self.sources[b], [])
@@ -82,22 +88,29 @@ class Bins:
         return b, offset
 
 
+def quotas(items: list[tuple[int, object, object]], capacity: int) -> dict[object, int]:
+    """How often a bin may have each source."""
+    fewest = max(1, -(-sum(n for n, _, _ in items) // capacity))
+    return {s: max(1, -(-n // fewest)) for s, n in Counter(s for _, s, _ in items).items()}
+
+
 def pack_items(items: list[tuple[int, object, object]], capacity: int) -> list[tuple[int, int]]:
     """Bin and offset of each (length, source, cluster), longest first, equal ones in the order given."""
+    quota = quotas(items, capacity)
     often = {c for c, n in Counter(c for _, _, c in items if c is not None).items() if n > 1}
     bit: dict = {}
     counts = {"s": 0, "c": 0}
 
-    def mark(kind: str, x: object) -> int:
+    def mark(kind: str, x: object, n_bits: int = 1) -> int:
         if (kind, x) not in bit:
-            bit[kind, x] = 1 << counts[kind]
-            counts[kind] += 1
+            bit[kind, x] = ((1 << n_bits) - 1) << counts[kind]
+            counts[kind] += n_bits
         return bit[kind, x]
 
     bins, out = Bins(capacity), [(0, 0)] * len(items)
     for i in sorted(range(len(items)), key=lambda i: -items[i][0]):
         n, source, cluster = items[i]
-        out[i] = bins.place(n, mark("s", source) if source is not None else 0, mark("c", cluster) if cluster in often else 0)
+        out[i] = bins.place(n, mark("s", source, quota[source]) if source is not None else 0, mark("c", cluster) if cluster in often else 0)
     return out
 
 
@@ -105,7 +118,7 @@ def pack(docs: DataFrame, length: Column, key: str = "doc_id", source: str = "so
     """``key, piece, start, length, bin_id, offset``: every document's pieces and where they lie.
 
     A document longer than ``capacity`` is cut; all its pieces but the last fill bins of their own. No
-    bin has two pieces of one source or one cluster (null ones conflict with nothing). Documents of length
+    bin has two pieces of one cluster, or more of one source than its quota (null ones conflict with nothing). Documents of length
     0 or null get one row of length 0 without a bin. Rows that repeat are packed each.
     """
     cluster = F.lit(None).cast("long") if cluster is None else cluster

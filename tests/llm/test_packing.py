@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -8,18 +8,18 @@ from corpusloom.llm import packing
 
 def naive(items, capacity):
     """Best fit by looking at every bin."""
-    bins, out = [], [None] * len(items)
+    bins, out, quota = [], [None] * len(items), packing.quotas(items, capacity)
     for i in sorted(range(len(items)), key=lambda i: -items[i][0]):
         n, s, c = items[i]
-        fit = [b for b, (left, ss, cc) in enumerate(bins) if left >= n and (s is None or s not in ss) and (c is None or c not in cc) and left > 0]
+        fit = [b for b, (left, ss, cc) in enumerate(bins) if left >= n and (s is None or ss.count(s) < quota[s]) and (c is None or c not in cc) and left > 0]
         if fit:
             b = min(fit, key=lambda b: (bins[b][0], b))
         else:
             b = len(bins)
-            bins.append([capacity, set(), set()])
+            bins.append([capacity, [], set()])
         out[i] = (b, capacity - bins[b][0])
         bins[b][0] -= n
-        bins[b][1].add(s)
+        bins[b][1].append(s)
         bins[b][2].add(c)
     return out
 
@@ -31,6 +31,13 @@ def test_equals_looking_at_every_bin():
         assert packing.pack_items(items, 30) == naive(items, 30)
 
 
+def test_quotas():
+    items = [(10, "hot", None)] * 30 + [(10, f"s{i}", None) for i in range(10)] + [(10, None, None)] * 2
+    assert packing.quotas(items, 42) == {"hot": 3, **{f"s{i}": 1 for i in range(10)}, None: 1}
+    bins = Counter(b for b, _ in packing.pack_items(items, 42))
+    assert len(bins) == 11 and max(bins.values()) == 4
+
+
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr(packing, "ITEMS_A_SHARD", 40)
     rng = random.Random(2)
@@ -53,5 +60,5 @@ def test_pack(spark, monkeypatch):
         assert at <= 100
         sources = [info[r.doc_id][1] for r in inside if info[r.doc_id][1] is not None]
         clusters = [info[r.doc_id][2] for r in inside if info[r.doc_id][2] is not None]
-        assert len(sources) == len(set(sources)) and len(clusters) == len(set(clusters))
+        assert len(clusters) == len(set(clusters)) and max(Counter(sources).values(), default=0) <= 2
     assert packing.pack(df.limit(0), F.col("n")).count() == 0
