@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.config import ModelConfig
 from corpusloom.operators.lm import Decoder, Params, rms_norm, rotate, softmax
@@ -31,8 +32,66 @@ def _outer(d: np.ndarray, x: np.ndarray) -> np.ndarray:
     return d.reshape(-1, d.shape[-1]).T @ x.reshape(-1, x.shape[-1])
 
 
-def loss_and_gradient(model: Decoder, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, float, Params]:
-    """Sum of masked cross-entropies, number of scored places, and the gradient of that sum."""
+def log_probs(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-probability of each target."""
+    top = logits.max(-1, keepdims=True)
+    return np.take_along_axis(logits - top, y[..., None], -1)[..., 0] - np.log(np.exp(logits - top).sum(-1))
+
+
+def _toward(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient of ``-sum(weight * log_probs)``."""
+    d = softmax(logits) * weight[..., None]
+    np.put_along_axis(d, y[..., None], np.take_along_axis(d, y[..., None], -1) - weight[..., None], -1)
+    return d
+
+
+@dataclass
+class CrossEntropy:
+    """Sum of masked cross-entropies; counts scored places."""
+
+    def __call__(self, x, y, mask, logits):
+        return float(-(log_probs(logits, y) * mask).sum()), float(mask.sum()), _toward(logits, y, mask)
+
+
+@dataclass
+class Distillation:
+    """``(1 - alpha) * cross-entropy + alpha * T**2 * KL(teacher || student)`` of masked places; the teacher is frozen."""
+
+    config: ModelConfig
+    params: Params
+    alpha: float = 0.5
+    temperature: float = 2.0
+
+    def __call__(self, x, y, mask, logits):
+        ce, n, d = CrossEntropy()(x, y, mask, logits)
+        t = self.temperature
+        p, q = softmax(Decoder(self.config, self.params).forward(x)[0] / t), softmax(logits / t)
+        kl = float(((p * (np.log(p + 1e-30) - np.log(q + 1e-30))).sum(-1) * mask).sum()) * t * t
+        return (1 - self.alpha) * ce + self.alpha * kl, n, (1 - self.alpha) * d + self.alpha * t * (q - p) * mask[..., None]
+
+
+@dataclass
+class Preference:
+    """Sum over pairs of ``softplus(-beta * margin)``. The first half of the rows are the chosen ones, the second the
+    rejected; the margin is the policy's difference of sequence log-probabilities less the frozen reference's. Counts pairs."""
+
+    config: ModelConfig
+    params: Params
+    beta: float = 0.1
+
+    def __call__(self, x, y, mask, logits):
+        half = len(x) // 2
+        total = lambda z: (log_probs(z, y) * mask).sum(-1)
+        policy, reference = total(logits), total(Decoder(self.config, self.params).forward(x)[0])
+        margin = self.beta * ((policy[:half] - policy[half:]) - (reference[:half] - reference[half:]))
+        loss = np.maximum(-margin, 0) + np.log1p(np.exp(-np.abs(margin)))
+        push = self.beta / (1 + np.exp(np.clip(margin, -60, 60)))
+        weight = np.concatenate([push, -push])[:, None] * mask
+        return float(loss.sum()), float(half), _toward(logits, y, weight)
+
+
+def loss_and_gradient(model: Decoder, x: np.ndarray, y: np.ndarray, mask: np.ndarray, objective=None) -> tuple[float, float, Params]:
+    """An objective's sum and count, and the gradient of the sum; cross-entropy if none is named."""
     c, p = model.config, model.params
     b, n = x.shape
     cos, sin = model.cos[:n], model.sin[:n]
@@ -55,11 +114,7 @@ def loss_and_gradient(model: Decoder, x: np.ndarray, y: np.ndarray, mask: np.nda
         h = mid + (g * s * f) @ w("w2").T
     top = rms_norm(h, p["norm"], c.norm_eps)
     logits = top @ p["embedding"].T
-    prob = softmax(logits)
-    m = mask.astype(np.float32)
-    loss = float((-np.log(np.take_along_axis(prob, y[..., None], -1)[..., 0] + 1e-30) * m).sum())
-    d = prob * m[..., None]
-    np.put_along_axis(d, y[..., None], np.take_along_axis(d, y[..., None], -1) - m[..., None], -1)
+    loss, scored, d = (objective or CrossEntropy())(x, y, mask.astype(logits.dtype), logits)
     grad = {"embedding": _outer(d, top)}
     dh, grad["norm"] = _norm_back(d @ p["embedding"], h, p["norm"], c.norm_eps)
     fold = lambda z: z.transpose(0, 2, 1, 3).reshape(b, n, c.n_kv_heads, rep, c.head_dim).sum(3)
@@ -83,7 +138,7 @@ def loss_and_gradient(model: Decoder, x: np.ndarray, y: np.ndarray, mask: np.nda
         dh = dmid + back
         grad |= {f"layers.{i}.{k}": v for k, v in out.items()}
     np.add.at(grad["embedding"], x, dh)
-    return loss, float(m.sum()), grad
+    return loss, scored, grad
 
 
 def clip(grad: Params, most: float) -> tuple[Params, float]:
@@ -115,16 +170,23 @@ class AdamW:
         return out
 
 
-def batch_gradient(examples: DataFrame, config: ModelConfig, params: Params) -> tuple[float, float, Params]:
-    """:func:`loss_and_gradient` over ``examples(x, y, loss_mask)``, summed: one row of sums a task, not a row a sample."""
-    shared = examples.sparkSession.sparkContext.broadcast((config, params))
+def batch_gradient(examples: DataFrame, config: ModelConfig, params: Params, objective=None) -> tuple[float, float, Params]:
+    """:func:`loss_and_gradient` summed over ``examples``: one row of sums a task, not a row a sample.
+
+    Examples are ``x, y, loss_mask``; for :class:`Preference` ``chosen, rejected`` structs of those.
+    """
+    shared = examples.sparkSession.sparkContext.broadcast((config, params, objective))
+    pairs = isinstance(objective, Preference)
+    columns = [f"{side}.{c}" for side in ("chosen", "rejected") for c in ("x", "y", "loss_mask")] if pairs else ["x", "y", "loss_mask"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, loss, n, total = Decoder(*shared.value), 0.0, 0.0, None
+        config, params, goal = shared.value
+        model, loss, n, total = Decoder(config, params), 0.0, 0.0, None
         for b in batches:
             for at in range(0, b.num_rows, 8):
-                x, y, m = (np.array(b.column(i).slice(at, 8).to_pylist(), np.int64) for i in range(3))
-                one, scored, grad = loss_and_gradient(model, x, y, m)
+                part = [np.array(b.column(i).slice(at, 8).to_pylist(), np.int64) for i in range(b.num_columns)]
+                x, y, m = [np.concatenate([part[i], part[i + 3]]) for i in range(3)] if pairs else part
+                one, scored, grad = loss_and_gradient(model, x, y, m, goal)
                 loss, n = loss + one, n + scored
                 total = grad if total is None else {k: total[k] + g for k, g in grad.items()}
         if total is not None:
@@ -132,7 +194,7 @@ def batch_gradient(examples: DataFrame, config: ModelConfig, params: Params) ->
             np.savez(out, **total)
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n]), pa.array([out.getvalue()], pa.binary())], names=["loss", "n", "grad"])
 
-    rows = examples.select("x", "y", "loss_mask").mapInArrow(run, "loss double, n double, grad binary")
+    rows = examples.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "loss double, n double, grad binary")
     loss, n, total = 0.0, 0.0, {k: np.zeros_like(v) for k, v in params.items()}
     for r in rows.toLocalIterator():
         loss, n = loss + r.loss, n + r.n
@@ -141,8 +203,9 @@ def batch_gradient(examples: DataFrame, config: ModelConfig, params: Params) ->
     return loss, n, total
 
 
-def train(examples: DataFrame, plan: DataFrame, key: str, config: ModelConfig, params: Params, *, learning_rate: float, epochs: int = 1, accumulation: int = 1, grad_clip: float = 1.0, optimizer: AdamW | None = None, on_step=None, start: tuple[int, int, int] = (0, 0, 0)) -> tuple[Params, int, list[tuple]]:
-    """Run ``plan(epoch, key, batch_id)`` over ``examples(key, x, y, loss_mask)``.
+def train(examples: DataFrame, plan: DataFrame, key: str, config: ModelConfig, params: Params, *, learning_rate: float, epochs: int = 1, accumulation: int = 1, grad_clip: float = 1.0, optimizer: AdamW | None = None, objective=None, on_step=None, start: tuple[int, int, int] = (0, 0, 0)) -> tuple[Params, int, list[tuple]]:
+    """Run ``plan(epoch, key, batch_id)`` over ``examples(key, ...)``, as :func:`batch_gradient` takes them, for an objective:
+    pretraining and chat tuning :class:`CrossEntropy`, distillation :class:`Distillation`, preferences :class:`Preference`.
 
     Gradients of a window of ``accumulation`` batches are averaged; a part window at an epoch's end is applied too. ``on_step(epoch,
     step, global_step, loss, params)`` is called after each batch. ``start`` is (epoch, step, updates) to go on from.
@@ -157,7 +220,7 @@ def train(examples: DataFrame, plan: DataFrame, key: str, config: ModelConfig, p
         for epoch in range(start[0], epochs):
             for step in range(start[1] if epoch == start[0] else 0, n_batches.get(epoch, 0)):
                 rate = rate_at(max(updates, 1), total, learning_rate)
-                loss, n, grad = batch_gradient(joined.where((joined.epoch == epoch) & (joined.batch_id == step)), config, params)
+                loss, n, grad = batch_gradient(joined.where((joined.epoch == epoch) & (joined.batch_id == step)), config, params, objective)
                 share = 1.0 / max(n, 1.0) / accumulation
                 pending = {k: (0 if pending is None else pending[k]) + g * share for k, g in grad.items()}
                 waiting += 1

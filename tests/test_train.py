@@ -8,25 +8,44 @@ from corpusloom.sources import artifacts
 TINY = ModelConfig(dim=16, n_layers=2, n_heads=4, n_kv_heads=2, vocab_size=20, hidden_dim=24, max_seq_len=16)
 
 
-def test_gradient_is_the_slope():
-    rng = np.random.default_rng(0)
-    params = {k: v.astype(np.float64) for k, v in lm.init_params(TINY).items()}
-    model = lm.Decoder(TINY, params)
+def in_doubles(seed):
+    model = lm.Decoder(TINY, {k: v.astype(np.float64) for k, v in lm.init_params(TINY, seed).items()})
     model.cos, model.sin = model.cos.astype(np.float64), model.sin.astype(np.float64)
-    x, y, m = rng.integers(0, 20, (2, 6)), rng.integers(0, 20, (2, 6)), rng.integers(0, 2, (2, 6))
-    loss, n, grad = train.loss_and_gradient(model, x, y, m)
-    assert n == m.sum()
+    return model
+
+
+@pytest.mark.parametrize("objective", [None, train.Distillation(TINY, in_doubles(5).params, 0.3, 2.0), train.Preference(TINY, in_doubles(6).params, 0.5)])
+def test_gradient_is_the_slope(objective):
+    rng = np.random.default_rng(0)
+    model = in_doubles(1)
+    params = model.params
+    x, y, m = rng.integers(0, 20, (4, 6)), rng.integers(0, 20, (4, 6)), rng.integers(0, 2, (4, 6))
+    loss, n, grad = train.loss_and_gradient(model, x, y, m, objective)
+    assert n == (2 if isinstance(objective, train.Preference) else m.sum())
     for name in params:
         for _ in range(4):
             at = tuple(rng.integers(0, s) for s in params[name].shape)
             old, slope = params[name][at], []
             for h in (1e-5, -1e-5):
                 params[name][at] = old + h
-                slope.append(train.loss_and_gradient(model, x, y, m)[0])
+                slope.append(train.loss_and_gradient(model, x, y, m, objective)[0])
             params[name][at] = old
             assert (slope[0] - slope[1]) / 2e-5 == pytest.approx(grad[name][at], rel=2e-3, abs=2e-5), name
 
 
+def test_preferences_are_learned(spark):
+    rng = np.random.default_rng(2)
+    side = lambda: (rng.integers(0, 20, 6).tolist(), rng.integers(0, 20, 6).tolist(), [0, 0, 1, 1, 1, 1])
+    schema = "struct<x:array<int>,y:array<int>,loss_mask:array<int>>"
+    ex = spark.createDataFrame([(i, side(), side()) for i in range(6)], f"doc_id long, chosen {schema}, rejected {schema}")
+    params = lm.init_params(TINY)
+    goal = train.Preference(TINY, params, 0.5)
+    first = train.batch_gradient(ex, TINY, params, goal)
+    assert first[0] / first[1] == pytest.approx(np.log(2), abs=1e-4)
+    out, updates, log = train.train(ex, schedule.batch_plan(ex, "doc_id", 6, 1, 4), "doc_id", TINY, params, learning_rate=0.02, epochs=4, objective=goal)
+    assert updates == 4 and log[-1][4] < log[0][4]
+
+
 def test_clip_and_adamw():
     grad, norm = train.clip({"a": np.array([3.0, 4.0])}, 1.0)
     assert norm == pytest.approx(5) and np.linalg.norm(grad["a"]) == pytest.approx(1, abs=1e-5)
