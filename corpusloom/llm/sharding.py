@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.llm._common import staged
@@ -84,9 +83,3 @@ def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key: str
     if "shard" in docs.columns:
         raise ValueError("docs has a column named shard already")
     docs.withColumn("shard", rendezvous(F.col(key), weights)).write.partitionBy("shard").parquet(path)
-
-
-SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("text_crc32", T.LongType()),
-    T.StructField("law", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("grown_shard", T.IntegerType()),
-])
