@@ -1,6 +1,6 @@
 """Chat history as keyed state: the last ``2 * turns`` messages of each conversation.
 
-The reference point is processing time: history that sees no message for ``ttl`` goes.
+State stays, or with a time to live goes after so long without a message, in processing time.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ MESSAGES = "conv_id long, roles array<string>, texts array<string>"
 OUT = "conv_id long, turn long, history_roles array<string>, history_texts array<string>"
 
 
-def history_stream(turns: DataFrame, n_turns: int, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def history_stream(turns: DataFrame, n_turns: int, ttl_ms: int | None = None) -> DataFrame:
     """For each user turn of ``turns(conv_id, turn, role, text)`` the messages before it, as the batch operator gives them.
 
-    Turns of a micro-batch are taken in turn order; turns that come later count as later.
+    Turns of a micro-batch are taken in turn order; turns that come later count as later. A time to live keeps
+    a query going, so it does not end by itself with ``availableNow``.
     """
     keep = 2 * n_turns
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -35,8 +37,9 @@ def history_stream(turns: DataFrame, n_turns: int, ttl_ms: int = 24 * 3600 * 100
                 out.append((key[0], r.turn, list(roles), list(texts)))
             roles, texts = ((roles + [r.role])[-keep:], (texts + [text])[-keep:]) if keep else ([], [])
         state.update((roles, texts))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         if out:
             yield pd.DataFrame(out, columns=["conv_id", "turn", "history_roles", "history_texts"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, OUT, "roles array<string>, texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(step, OUT, "roles array<string>, texts array<string>", "append", timeout)

@@ -28,7 +28,7 @@ def test_keyed_history_equals_batch(spark, tmp_path):
     for i, part in enumerate((turns[:14], turns[14:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    ingest.write_parquet(chat.history_stream(stream, 2), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(180)
+    assert ingest.write_parquet(chat.history_stream(stream, 2), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(90)
     got = {(r.conv_id, r.turn, tuple(r.history_texts)) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     batch = examples.history(spark.createDataFrame(turns, schema), 2)
     assert got == {(r.conv_id, r.turn, tuple(m.content for m in r.history)) for r in batch.collect()}
