@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.binding import bind
+
 
 def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
@@ -19,13 +21,11 @@ def scale(logits: Column, temperature: float) -> Column:
 
 
 def log_sum_exp(logits: Column) -> Column:
-    m = F.array_max(logits)
-    return m + F.log(_sum(F.transform(logits, lambda v: F.exp(v - m))))
+    return bind(logits, lambda x: bind(F.array_max(x), lambda m: m + F.log(_sum(F.transform(x, lambda v: F.exp(v - m))))))
 
 
 def log_softmax(logits: Column) -> Column:
-    lse = log_sum_exp(logits)
-    return F.transform(logits, lambda v: v - lse)
+    return bind(logits, lambda x: bind(log_sum_exp(x), lambda lse: F.transform(x, lambda v: v - lse)))
 
 
 def softmax(logits: Column) -> Column:

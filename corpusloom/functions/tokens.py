@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.binding import bind
+
 PAD = UNK_ID = 0
 BOS_ID, EOS_ID = 1, 2
 SPECIALS = ("<unk>", "<s>", "</s>")
@@ -87,21 +89,24 @@ def assistant_mask(ids: Column, bos: list[int], eos: list[int], max_length: int,
     A span without a terminator runs to the end; scanning goes on behind a terminator. Places from
     ``max_length`` on and pads are 0.
     """
-    n = F.size(ids)
 
-    def found(marker: list[int]) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.greatest(n - len(marker), F.lit(0))), lambda i: F.get(ids, i) == marker[0])
+    def found(ids: Column, marker: list[int]) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ids) - len(marker), F.lit(0))), lambda i: F.get(ids, i) == marker[0])
         return F.filter(at, lambda i: F.slice(ids, i + 1, len(marker)) == F.array(*map(F.lit, marker)))
 
-    starts, ends = found(bos), found(eos)
     empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
 
-    def step(acc: Column, i: Column) -> Column:
-        a = i + len(bos)
-        stop = F.coalesce(F.array_min(F.filter(ends, lambda x: x >= a)) + len(eos), n)
-        span = F.struct(a.alias("a"), F.least(stop, F.lit(max_length)).alias("b"))
-        return F.when(i < acc["pos"], acc).otherwise(F.struct(stop.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans")))
+    def spans_of(ids: Column, ends: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            a = i + len(bos)
+            stop = F.coalesce(F.array_min(F.filter(ends, lambda x: x >= a)) + len(eos), F.size(ids))
+            span = F.struct(a.alias("a"), F.least(stop, F.lit(max_length)).alias("b"))
+            return F.when(i < acc["pos"], acc).otherwise(F.struct(stop.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans")))
+
+        return F.aggregate(found(ids, bos), empty, step, lambda acc: acc["spans"])
+
+    def mask_of(ids: Column, spans: Column) -> Column:
+        return F.transform(ids, lambda v, j: ((v != pad) & F.exists(spans, lambda s: (j >= s["a"]) & (j < s["b"]))).cast("int"))
 
-    spans = F.aggregate(starts, empty, step, lambda acc: acc["spans"])
-    mask = F.transform(ids, lambda v, j: ((v != pad) & F.exists(spans, lambda s: (j >= s["a"]) & (j < s["b"]))).cast("int"))
-    return F.when(n > 0, mask).otherwise(F.array().cast("array<int>"))
+    mask = bind(ids, lambda x: bind(found(x, eos), lambda ends: bind(spans_of(x, ends), lambda spans: mask_of(x, spans))))
+    return F.when(F.size(ids) > 0, mask).otherwise(F.array().cast("array<int>"))

@@ -13,8 +13,10 @@ TERMINATOR = tokens.encode_text(f"{template.EOS}\n")
 
 
 def byte_tokens(text: Column, max_length: int) -> Column:
-    """The first ``max_length`` ids. An id takes five characters at most (a special string), so no more are expanded."""
-    return tokens.truncate(tokens.byte_ids(F.substring(text, 1, 5 * max_length + 5)), max_length)
+    """The first ``max_length`` ids. A character is an id at least, but that a special string of up to five is one; no more
+    characters are expanded than these ids can take."""
+    specials = F.regexp_count(F.substring(text, 1, 5 * max_length + 5), F.lit("|".join(tokens.SPECIALS)))
+    return tokens.truncate(tokens.byte_ids(F.substring(text, F.lit(1), specials * 4 + max_length + 5)), max_length)
 
 
 def pretrain_example(ids: Column, max_length: int) -> Column:
