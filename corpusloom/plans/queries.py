@@ -217,9 +217,9 @@ def prompt_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").alias("n_kept"), check.alias("tail_sum"))
 
 
-@query("SELECT doc_id, md5(substr(text, 1, 300)) AS text_md5, CAST(strlen(substr(text, 1, 300)) AS INTEGER) AS n_ids FROM documents")
+@query("SELECT doc_id, md5(text) AS text_md5, CAST(strlen(text) AS INTEGER) AS n_ids FROM documents")
 def byte_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.byte_ids(F.substring("text", 1, 300)).alias("ids"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.byte_ids(F.col("text")).alias("ids"))
     return docs.select("doc_id", F.md5(tokens.byte_text(F.col("ids"))).alias("text_md5"), F.size("ids").alias("n_ids"))
 
 
@@ -412,10 +412,10 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.stop_step(_trace(spark, sf_dir), "seq_id", "step", "token", 2)
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, least(length(text), 200) + 1), lambda i: substr(text, i, 1)))) AS INTEGER) AS n_distinct FROM documents")
+@query("SELECT doc_id, CAST(len(list_distinct(list_filter(string_split(text, ''), lambda c: c <> ''))) AS INTEGER) AS n_distinct FROM documents")
 def distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct items of a sequence, here of a text's first 200 characters as the decoder's context."""
-    chars = F.filter(F.split(F.substring("text", 1, 200), ""), lambda c: c != "")
+    """Distinct items of a sequence, here of all characters of a text."""
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(chars)).alias("n_distinct"))
 
 
