@@ -1,8 +1,10 @@
 """Benchmark decontamination by spaced seeds; DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased. A fixed mask picks some of a window's words and ignores the rest, so
-a copied passage still hits where words in ignored places were replaced. Every hit is then verified
-word by word: some window of ``WINDOW`` words around it must agree in at least ``AGREE`` of them.
+Words are runs of letters and digits, lower-cased. The masks pick any four of five words in a row and ignore the fifth.
+A window of ``WINDOW`` words that agrees in ``AGREE`` of them has a fifth of its words replaced at most, so of the
+runs of five that lie in it side by side one has no more than one replaced: every window that passes the check is hit by
+a mask, wherever its replaced words are. Every hit is then verified word by word: some window of ``WINDOW`` words around it
+must agree in at least ``AGREE`` of them. Shorter items are one window as a whole.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm._common import staged
 
 #: Fixed seeds: 1 is a word that must agree, 0 one that is ignored.
-MASKS = ("111011001011", "110100110111", "101110110011")
+MASKS = ("01111", "10111", "11011", "11101", "11110")
 SPAN = len(MASKS[0])
 WINDOW = 15
 AGREE = 0.8
@@ -80,7 +82,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     hashed = docs.select(F.col(key).alias("k"), word_hashes(F.col(text)).alias("h"))
     windows = hashed.select("k", "h", F.explode(_positions(F.size("h"), SHORTEST)).alias("i"))
-    tried = [_seed(F.col("h"), F.col("i"), m) for m in MASKS]  # a seed beyond the end has nulls: it hits nothing that agrees
+    inside = F.col("i") + SPAN <= F.size("h")
+    tried = [F.when(inside, _seed(F.col("h"), F.col("i"), m)) for m in MASKS]  # null, which hits nothing, beyond the end
     tried += [F.xxhash64(F.lit("whole"), F.slice("h", F.col("i") + 1, m)) for m in lengths]
     tried = windows.select("k", "h", "i", F.explode(F.array(*tried)).alias("seed"))
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -74,3 +75,45 @@ def test_query_catches_every_copied_passage(spark, sf_dir):
             grams.setdefault(tuple(b[i : i + 15]), set()).add(item)
     copied = {(k, item) for k, t in docs for d in [words(t)] for i in range(len(d) - 14) for item in grams.get(tuple(d[i : i + 15]), ())}
     assert pairs(op9_decontamination(spark, sf_dir)) == copied
+
+
+def passes_check(d, b):
+    """Whether any window of the item ``b`` agrees in enough words at any place of ``d``; no seeds."""
+    window = min(dc.WINDOW, len(b))
+    for diag in range(-len(b), len(d)):
+        same = [0 <= diag + j < len(d) and d[diag + j] == b[j] for j in range(len(b))]
+        if any(sum(same[s : s + window]) >= dc.AGREE * window for s in range(len(b) - window + 1)):
+            return True
+    return False
+
+
+def test_every_pattern_of_replaced_words_is_hit(spark):
+    """All ways to replace as many words as the check lets pass, and copies with every fifth word replaced."""
+    docs, items = [], []
+    for n in range(10, 16):
+        item = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for k in range(1, n // 5 + 1):
+            for gone in itertools.combinations(range(n), k):
+                docs.append((len(docs), n, " ".join(["before", *["x" if i in gone else w for i, w in enumerate(item)], "after"])))
+    for n in (20, 30, 60):
+        item = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        docs += [(len(docs) + p, n, " ".join("x" if i % 5 == p else w for i, w in enumerate(item))) for p in range(5)]
+    d = spark.createDataFrame([(k, t) for k, _, t in docs], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert len(docs) > 800 and pairs(dc.find_overlaps(d, b)) == {(k, n) for k, n, _ in docs}
+
+
+def test_same_as_a_search_without_seeds(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([12, 13, 14, 15, 16, 30])]
+    docs = []
+    for k in range(80):
+        b = words(rng.choice(items)[1])
+        part = [w if rng.random() > 0.22 else "changed" for w in b]
+        docs.append((k, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 9)) + part[rng.randrange(0, 3) :] + rng.choices(vocabulary, k=rng.randrange(0, 9)))))
+    want = {(k, item) for k, t in docs for item, s in items if passes_check(words(t), words(s))}
+    found = pairs(dc.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert found == want and 20 < len(want) < len(docs) * len(items)
