@@ -4,7 +4,8 @@ Words are runs of letters and digits, lower-cased. The masks pick any four of fi
 A window of ``WINDOW`` words that agrees in ``AGREE`` of them has a fifth of its words replaced at most, so of the
 runs of five that lie in it side by side one has no more than one replaced: every window that passes the check is hit by
 a mask, wherever its replaced words are. Every hit is then verified word by word: some window of ``WINDOW`` words around it
-must agree in at least ``AGREE`` of them. Shorter items are one window as a whole.
+must agree in at least ``AGREE`` of them. Shorter items are one window as a whole; of
+those of fewer words than a mask every word must agree.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ MASKS = ("01111", "10111", "11011", "11101", "11110")
 SPAN = len(MASKS[0])
 WINDOW = 15
 AGREE = 0.8
-#: Items of fewer words than SPAN are sought as a whole; of fewer than SHORTEST not at all.
-SHORTEST = 5
+#: Items of fewer words than SPAN are sought as a whole; of fewer than SHORTEST (none at all) not.
+SHORTEST = 1
 #: Seeds in one broadcast: each row takes some 200 bytes. More seeds are sought in further passes.
 SEEDS_A_PASS = 200_000
 
@@ -37,8 +38,8 @@ def _seed(hashes: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(hashes, at + o) for o, bit in enumerate(mask) if bit == "1"])
 
 
-def _positions(n: Column, span: int) -> Column:
-    return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
+def _positions(n: Column, span: int, first: int = 0) -> Column:
+    return F.when(n >= span, F.sequence(F.lit(first), n - span)).otherwise(F.array().cast("array<int>"))
 
 
 def seeds(items: DataFrame) -> DataFrame:
@@ -81,28 +82,32 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     lengths = sorted(r.n for r in prepared.where(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect())  # SPAN - SHORTEST at most
 
     hashed = docs.select(F.col(key).alias("k"), word_hashes(F.col(text)).alias("h"))
-    windows = hashed.select("k", "h", F.explode(_positions(F.size("h"), SHORTEST)).alias("i"))
-    inside = F.col("i") + SPAN <= F.size("h")
-    tried = [F.when(inside, _seed(F.col("h"), F.col("i"), m)) for m in MASKS]  # null, which hits nothing, beyond the end
-    tried += [F.xxhash64(F.lit("whole"), F.slice("h", F.col("i") + 1, m)) for m in lengths]
+    # from -1 on: the first or the last word of an item of SPAN words may be the one that is missing, beyond an end of the document
+    windows = hashed.select("k", "h", F.explode(_positions(F.size("h"), SHORTEST, -1)).alias("i"))
+    tried = [
+        F.when((F.col("i") + m.index("1") >= 0) & (F.col("i") + m.rindex("1") < F.size("h")), _seed(F.col("h"), F.col("i"), m)) for m in MASKS
+    ]  # null, which hits nothing, where words that must agree lie beyond an end
+    tried += [F.when((F.col("i") >= 0) & (F.col("i") + m <= F.size("h")), F.xxhash64(F.lit("whole"), F.slice("h", F.greatest("i", F.lit(0)) + 1, m))) for m in lengths]
     tried = windows.select("k", "h", "i", F.explode(F.array(*tried)).alias("seed"))
 
     found = None
     for p in range(passes):
         block = all_seeds.where(F.pmod("block", F.lit(passes)) == p).drop("block")
-        hits = tried.join(F.broadcast(block), "seed")  # at most about SEEDS_A_PASS rows, however large the benchmark
+        over = (F.col("i") < 0) | (F.col("i") + F.least("window", F.lit(SPAN)) > F.size("h"))
+        hits = tried.join(F.broadcast(block), "seed").where(~over | (F.col("window") == SPAN))  # longer items are hit elsewhere, too; at most about SEEDS_A_PASS rows, however large the benchmark
         # null in ``there``, the document's words beside ``around``, is a place outside the document
         before = F.greatest(F.col("lead") - F.col("i"), F.lit(0))
         there = F.concat(F.array_repeat(F.lit(None).cast("long"), before), F.slice("h", F.greatest(F.col("i") - F.col("lead"), F.lit(0)) + 1, F.size("around") - before))
-        near = hits.select("k", "item", "i", "j", "window", "lead", "around", there.alias("there"))
+        last = F.least(F.col("i") + F.least("window", F.lit(SPAN)), F.size("h")) - 1
+        near = hits.select("k", "item", "i", "j", "window", "lead", "around", there.alias("there"), last.alias("last"))
         found = near if found is None else found.unionByName(near)
     # one row for each place that any mask hits; what is verified above this aggregation cannot move into the join, which
     # has to stay in one generated stage with the positions: rows that leave that stage carry no whole document
-    places = found.groupBy("k", "item", "i", "j", "window", "lead").agg(F.first("around").alias("around"), F.first("there").alias("there"))
+    places = found.groupBy("k", "item", "i", "j", "window", "lead", "last").agg(F.first("around").alias("around"), F.first("there").alias("there"))
     starts = F.sequence(F.lit(0), F.greatest(F.least(F.col("lead"), F.size("around") - F.col("window")), F.lit(0)))
-    best = places.select("k", "item", "i", "j", "window", F.array_max(F.transform(starts, _agreeing)).alias("matched"))
+    best = places.select("k", "item", "i", "last", "window", F.array_max(F.transform(starts, _agreeing)).alias("matched"))
     found = best.where(F.col("matched") >= F.ceil(F.col("window") * AGREE))
-    pairs = found.withColumn("span", F.least("window", F.lit(SPAN))).groupBy("k", "item").agg(F.count("*").alias("n_hits"), F.max("matched").alias("matched"), F.min("i").alias("doc_from"), F.max(F.col("i") + F.col("span") - 1).alias("doc_to"))
+    pairs = found.groupBy("k", "item").agg(F.count("*").alias("n_hits"), F.max("matched").alias("matched"), F.greatest(F.min("i"), F.lit(0)).alias("doc_from"), F.max("last").alias("doc_to"))
     named = prepared.select(F.col("w").alias("item"), F.col("item").alias("name"))
     return pairs.join(named, "item").select(F.col("k").alias(key), F.col("name").alias(item), "n_hits", "matched", "doc_from", "doc_to")
 

@@ -117,3 +117,24 @@ def test_same_as_a_search_without_seeds(spark):
     want = {(k, item) for k, t in docs for item, s in items if passes_check(words(t), words(s))}
     found = pairs(dc.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
     assert found == want and 20 < len(want) < len(docs) * len(items)
+
+
+def test_short_items(spark):
+    """5 to 11 words by the same check, also at the ends of a document; fewer words as they are."""
+    items, docs = [], []
+    for n in range(1, 12):
+        item = [f"s{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for k in range(0, 4):
+            for gone in itertools.combinations(range(n), k):
+                copy = ["x" if i in gone else w for i, w in enumerate(item)]
+                for text in (copy, ["before", *copy, "after"], [w for i, w in enumerate(item) if i not in gone] if gone in ((0,), (n - 1,)) else copy):
+                    docs.append((len(docs), " ".join(text)))
+    want = {(k, n) for k, t in docs for n, s in items if passes_check(words(t), words(s))}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = dc.find_overlaps(d, b)
+    rows = found.collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and {n for _, n in want} == set(range(1, 12))
+    sizes = {k: len(words(t)) for k, t in docs}
+    assert all(0 <= r.doc_from <= r.doc_to < sizes[r.doc_id] for r in rows)
