@@ -545,9 +545,11 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- byte-pair encoding and the network ----
 
-#: Small, so that the queries stay quick; the operators take any size.
-BPE_VOCAB = 400
-NETWORK = config.ModelConfig(dim=32, n_layers=2, n_heads=4, n_kv_heads=2, vocab_size=tokens.VOCAB, max_seq_len=64)
+BPE_VOCAB = config.ModelConfig().vocab_size
+#: Narrow and shallow; texts are as long as in the full size.
+NETWORK = config.ModelConfig(dim=32, n_layers=2, n_heads=4, n_kv_heads=2, vocab_size=tokens.VOCAB, max_seq_len=config.ModelConfig().max_seq_len)
+NEW_TOKENS = 8
+TRAINED_LENGTH = 512
 
 
 @query(r"""SELECT token, count(*) AS n FROM (
@@ -559,7 +561,7 @@ def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab, merges = bpe.train(table(spark, sf_dir, "benchmark"), BPE_VOCAB)
+    vocab, merges = bpe.train(table(spark, sf_dir, "documents"), BPE_VOCAB)
     rank = {a + b: i for i, (a, b) in enumerate(merges)}
     return spark.createDataFrame([(t, i, rank.get(t)) for t, i in vocab.items()], "token string, id int, merge_rank int")
 
@@ -568,7 +570,7 @@ def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode again: the text comes back, in fewer ids than bytes."""
     items = table(spark, sf_dir, "benchmark")
-    spec = bpe.tokenizer_json(*bpe.train(items, BPE_VOCAB))
+    spec = bpe.tokenizer_json(*bpe.train(table(spark, sf_dir, "documents"), BPE_VOCAB))
     back = bpe.decode(bpe.encode(items, spec, "text"), spec, "ids", "back")
     return back.select("item_id", F.md5("back").alias("text_md5"), (F.size("ids") < F.octet_length("text")).alias("shorter"))
 
@@ -586,14 +588,14 @@ def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def generate_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight sampled tokens after each prompt, step by step."""
-    made = lm.generate_rows(_prompts(spark, sf_dir, 16), NETWORK, lm.init_params(NETWORK), "item_id", trace=True, max_new_tokens=8, seed=1)
+    made = lm.generate_rows(_prompts(spark, sf_dir, tokens.prompt_budget(NETWORK.max_seq_len, NEW_TOKENS)), NETWORK, lm.init_params(NETWORK), "item_id", trace=True, max_new_tokens=NEW_TOKENS, seed=1)
     return made.select("item_id", "step", F.element_at("ids", -1).alias("token_id"))
 
 
 @query()
 def train_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two updates of pretraining on the benchmark's texts: epoch, step, updates, rate, loss."""
-    ready = _prompts(spark, sf_dir, 32).select("item_id", examples.pretrain_example(F.col("ids"), 32).alias("e")).select("item_id", "e.*")
+    ready = _prompts(spark, sf_dir, TRAINED_LENGTH).select("item_id", examples.pretrain_example(F.col("ids"), TRAINED_LENGTH).alias("e")).select("item_id", "e.*")
     plan = schedule.batch_plan(ready, "item_id", 64, 1337)
     _, _, log = train.train(ready, plan, "item_id", NETWORK, lm.init_params(NETWORK), learning_rate=5e-4)
     return spark.createDataFrame(log, "epoch int, step int, global_step int, lr double, loss double")

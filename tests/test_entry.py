@@ -53,3 +53,18 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", ["bpe_vocab", "generate_trace", "train_steps"])
 def test_query_runs(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_network_and_vocabulary_queries_run_on_whole_texts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import lm
+
+    assert plans.QUERIES["bpe_vocab"](spark, sf_dir).count() == 6400
+    sizes = {r.item_id: len(r.text.encode()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    assert {r.item_id: r.n_scored for r in plans.QUERIES["lm_score"](spark, sf_dir).collect()} == {k: n + 1 for k, n in sizes.items()}
+    whole = plans._prompts(spark, sf_dir, 10_000)
+    assert {r.item_id: r.n for r in whole.select("item_id", F.size("ids").alias("n")).collect()} == {k: n + 2 for k, n in sizes.items()}
+    made = lm.generate_rows(whole, plans.NETWORK, lm.init_params(plans.NETWORK), "item_id", trace=True, max_new_tokens=8, seed=1)
+    want = {(r.item_id, r.step, r.ids[-1]) for r in made.collect()}
+    assert {(r.item_id, r.step, r.token_id) for r in plans.QUERIES["generate_trace"](spark, sf_dir).collect()} == want
