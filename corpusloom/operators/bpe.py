@@ -1,15 +1,16 @@
 """Byte-level BPE: distributed pre-token counts, merge training on the counts, Arrow-batched encoding.
 
-Only counting sees the corpus. The merge loop runs over distinct pre-tokens on the driver, at most
-``MOST_WORDS`` of them (the most frequent; a documented bound of the model fit).
+Only counting sees the corpus. The merge loop runs over all distinct pre-tokens on the driver, which has to have room for
+them; none is left out.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from corpusloom.functions.tokens import SPECIALS, byte_id
 
 #: The published pre-token pattern of byte-level BPE. (?U): character classes follow Unicode.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST_WORDS = 200_000
 
 
 def alphabet() -> dict[int, str]:
@@ -37,21 +37,23 @@ def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(pretokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def learn_merges(words: list[tuple[str, int]], n_merges: int) -> list[tuple[str, str]]:
+def learn_merges(words: Iterable[tuple[str, int]], n_merges: int) -> list[tuple[str, str]]:
     """The ``n_merges`` most frequent pairs one after the other; of equally frequent ones the smaller pair.
 
     Pair counts are kept up to date by the words that hold a merged pair, and read from a heap whose stale entries are
-    skipped.
+    skipped, like the numbers of words that have lost a pair since.
     """
     to_char = alphabet()
-    parts = [[to_char[b] for b in w.encode()] for w, _ in words]
-    freq = [n for _, n in words]
+    parts, freq = [], array("q")
+    for w, n in words:
+        parts.append([to_char[b] for b in w.encode()])
+        freq.append(n)
     counts: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    where: dict[tuple[str, str], array] = defaultdict(lambda: array("q"))
     for i, p in enumerate(parts):
         for pair in zip(p, p[1:]):
             counts[pair] += freq[i]
-            where[pair].add(i)
+            where[pair].append(i)
     heap = [(-n, pair) for pair, n in counts.items()]
     heapq.heapify(heap)
     merges: list[tuple[str, str]] = []
@@ -61,7 +63,7 @@ def learn_merges(words: list[tuple[str, int]], n_merges: int) -> list[tuple[str,
             continue
         merges.append(pair)
         changed: set[tuple[str, str]] = set()
-        for i in list(where[pair]):
+        for i in where.pop(pair):
             old, new, j = parts[i], [], 0
             while j < len(old):
                 if j + 1 < len(old) and (old[j], old[j + 1]) == pair:
@@ -70,13 +72,16 @@ def learn_merges(words: list[tuple[str, int]], n_merges: int) -> list[tuple[str,
                 else:
                     new.append(old[j])
                     j += 1
+            if len(new) == len(old):
+                continue
+            had = set(zip(old, old[1:]))
             for p in zip(old, old[1:]):
                 counts[p] -= freq[i]
-                where[p].discard(i)
                 changed.add(p)
             for p in zip(new, new[1:]):
                 counts[p] += freq[i]
-                where[p].add(i)
+                if p not in had:
+                    where[p].append(i)
                 changed.add(p)
             parts[i] = new
         for p in changed:
@@ -93,12 +98,13 @@ def build_vocab(merges: list[tuple[str, str]]) -> dict[str, int]:
     return {t: i for i, t in enumerate(dict.fromkeys(tokens))}
 
 
-def train(docs: DataFrame, vocab_size: int = 6400, text: str = "text", most_words: int = MOST_WORDS) -> tuple[dict[str, int], list[tuple[str, str]]]:
+def train(docs: DataFrame, vocab_size: int = 6400, text: str = "text") -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Vocabulary and merges; ids 0 to 2 are the specials."""
     if vocab_size < 256 + len(SPECIALS):
         raise ValueError("a vocabulary holds the specials and all bytes at least")
-    rows = pretoken_counts(docs, text).orderBy(F.desc("n"), "token").limit(most_words).collect()
-    merges = learn_merges([(r.token, r.n) for r in rows], vocab_size - 256 - len(SPECIALS))
+    rows = pretoken_counts(docs, text).toArrow()
+    words = ((token, n) for b in rows.to_batches() for token, n in zip(b["token"].to_pylist(), b["n"].to_pylist(), strict=True))
+    merges = learn_merges(words, vocab_size - 256 - len(SPECIALS))
     vocab = build_vocab(merges)
     assert [vocab[s] for s in SPECIALS] == [0, 1, 2]
     return vocab, merges

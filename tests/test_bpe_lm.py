@@ -122,3 +122,38 @@ def test_config():
     for bad in ({"n_kv_heads": 3}, {"dim": 100, "n_heads": 8}, {"max_seq_len": 0}):
         with pytest.raises(ValueError):
             ModelConfig(**bad)
+
+
+def test_all_distinct_words_count(spark):
+    """The rarest of 260,000 distinct pre-tokens share the most frequent pair."""
+    letters = "translate(cast(id AS string), '0123456789', 'abcdefghij')"
+    head = spark.range(200_000).selectExpr(f"{letters} AS text")
+    tail = spark.range(60_000).selectExpr(f"concat('zq', {letters}) AS text")
+    _, merges = bpe.train(head.union(head).union(tail), 260)
+    assert merges == [("z", "q")]
+
+
+def plain_merges(words, n_merges):
+    """Every pair counted anew for each merge."""
+    parts, merges = [([bpe.alphabet()[b] for b in w.encode()], n) for w, n in words], []
+    for _ in range(n_merges):
+        counts = {}
+        for p, n in parts:
+            for pair in zip(p, p[1:]):
+                counts[pair] = counts.get(pair, 0) + n
+        if not counts:
+            break
+        merges.append(min(counts, key=lambda x: (-counts[x], x)))
+        for p, _ in parts:
+            j = 0
+            while j + 1 < len(p):
+                if (p[j], p[j + 1]) == merges[-1]:
+                    p[j : j + 2] = [p[j] + p[j + 1]]
+                j += 1
+    return merges
+
+
+def test_merges_equal_plain_counting():
+    rng = random.Random(4)
+    words = [("".join(rng.choices("aab", k=rng.randrange(1, 9))), rng.randrange(1, 5)) for _ in range(150)]
+    assert bpe.learn_merges(words, 60) == plain_merges(words, 60)
