@@ -502,6 +502,13 @@ def jsonl_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.lenient(_event_lines(spark, sf_dir), max_samples=500)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT reason, count(*) AS n FROM (SELECT CASE line_no % 11 WHEN 0 THEN 'malformed' WHEN 1 THEN 'malformed' WHEN 2 THEN 'no_object' WHEN 3 THEN 'no_object' ELSE 'missing' END AS reason
+  FROM ({_VALUE}) WHERE line_no % 11 < 5) GROUP BY reason""")
+def jsonl_rejects_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all lines; ``jsonl_rejects`` has the loader's limit of lines."""
+    return jsonl.lenient(_event_lines(spark, sf_dir))[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id, json_valid(props) AS valid, CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events")
 def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", jsonl.is_json(F.col("props")).alias("valid"), F.size(F.json_object_keys("props")).alias("n_keys"))
