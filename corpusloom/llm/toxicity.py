@@ -1,18 +1,20 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training: document frequencies of words, and of their first four and five letters, in toxic and clean
-rows give log-odds under an informative Dirichlet prior; those whose z-value is significant score
-the lower end of their log-odds, all other tokens score ``DRIFT``. A linear-time scan finds every maximal scoring
-segment of a text. A segment's significance follows the extreme-value law ``p = 1 - exp(-K n exp(-lambda S))``
-with lambda and K fitted on clean rows; significant segments are passages, and what they weigh together
-is turned into a probability by a logistic fit on rows that the token scores have not seen.
+Features of a token are the word itself, the 2- to 7-letter grams of the marked word (``^word$``), and the pair it makes with the
+word before it. Their counts in toxic and clean rows give log-odds under an informative Dirichlet prior. A feature
+that is significant in documents and in tokens scores the lower end of its log-odds; one that is met almost only within
+a longer one says nothing of its own and is left out. A token scores its best feature, or ``drift``: what a token without any says
+against toxicity, so that how densely toxic tokens stand counts. A linear-time scan finds every maximal scoring segment of a
+text. A segment's significance follows the extreme-value law ``p = 1 - exp(-K n exp(-lambda S))`` with
+lambda and K fitted on clean rows. Significant segments are passages; the strongest segment's ``log p`` and the density of scores
+give a probability by a logistic fit. Drift, lambda, K and the fit are taken from rows whose scores come from the other folds.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -20,25 +22,31 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import staged
 
 #: Most labelled rows that training uses.
-SAMPLE_ROWS = 40_000
-PRIOR = 100.0
-FLAT = 0.5
-Z_MIN = 3.3
-Z_MIN_PREFIX = 5.0
-DRIFT = -0.35
+SAMPLE_ROWS = 20_000
+#: Weight of the prior, in rows and in tokens; what it adds to every feature.
+PRIOR_ROWS, PRIOR_TOKENS, FLAT = 100.0, 1000.0, 0.5
+#: Letters of a gram, marks included; whole marked words are features at any length.
+GRAMS = range(2, 8)
+#: Toxic rows that a feature needs; its z-value, by rows and by tokens; its log-odds.
+LEAST, Z_MIN, ODDS_MIN = 4, 4.0, 1.5
+#: z-value by tokens from which a gram is counted by rows.
+Z_LIKELY = 3.0
 #: Tokens score the lower end of their log-odds, so many standard deviations below the estimate.
 LOWER = 1.64
 MOST_SCORE = 8.0
-#: Most tokens in a model; by z-value, the most significant ones.
-MODEL_TOKENS = 20_000
+#: A gram of which a longer one has this share of toxic rows is left out.
+CLOSED = 0.95
+FOLDS = 4
+RIDGE = 1.0
+#: The strongest evidence (-log p) that still counts.
+MOST_EVIDENCE = 60.0
 P_PASSAGE = 0.05
-PREFIXES = (5, 4)
 _WORD = re.compile(r"[^\W\d_]+")
 CACHED = 300_000
 
@@ -51,6 +59,15 @@ def tokens(text: str) -> list[str]:
     return words
 
 
+def grams(word: str) -> set[str]:
+    marked = f"^{word}$"
+    return {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
+
+
+def pairs_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, islice(words, 1, None), strict=False) if a and b]
+
+
 def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score), in linear time.
 
@@ -81,14 +98,28 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
 
 
 class _Scores(dict):
-    def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
+    """Score of every word by its grams; 0 where none scores."""
+
+    def __init__(self, scores: dict[str, float]):
         super().__init__()
-        self.words, self.prefixes = words, prefixes
+        self.by_length: dict[int, dict[str, float]] = defaultdict(dict)
+        self.whole: dict[str, float] = {}
+        for g, s in scores.items():
+            if len(g) in GRAMS:
+                self.by_length[len(g)][g] = s
+            else:
+                self.whole[g] = s
 
     def __missing__(self, word: str) -> float:
-        s = self.words.get(word)
-        if s is None:
-            s = max((self.prefixes[word[:n]] for n in PREFIXES if len(word) > n and word[:n] in self.prefixes), default=DRIFT)
+        s = 0.0
+        if word:
+            marked = f"^{word}$"
+            s = self.whole.get(marked, 0.0)
+            for n, known in self.by_length.items():
+                for i in range(len(marked) - n + 1):
+                    found = known.get(marked[i : i + n])
+                    if found is not None and found > s:
+                        s = found
         if len(self) >= CACHED:
             self.clear()
         self[word] = s
@@ -97,15 +128,17 @@ class _Scores(dict):
 
 @dataclass
 class Model:
-    words: dict[str, float] = field(default_factory=dict)
-    prefixes: dict[str, float] = field(default_factory=dict)
+    """What scoring needs; ``grams`` and ``pairs`` are as many as the bounded sample has significant ones."""
+
+    grams: dict[str, float] = field(default_factory=dict)
+    pairs: dict[str, float] = field(default_factory=dict)
+    drift: float = -0.02
     lam: float = 1.0
     k: float = 0.1
-    slope: float = 1.0
-    offset: float = -5.0
+    weights: tuple[float, float, float] = (1.0, 0.0, -5.0)
 
     def __post_init__(self) -> None:
-        self._scores = _Scores(self.words, self.prefixes)
+        self._scores = _Scores(self.grams)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_scores"}
@@ -114,12 +147,16 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def segments(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
+    def hits(self, text: str | None) -> tuple[list[tuple[int, float]], int]:
+        """Place and score of every scoring token, and how many tokens there are."""
         words = tokens(text or "")
         scores = list(map(self._scores.__getitem__, words))
-        if not scores or max(scores) <= 0:
-            return [], len(words)
-        return maximal_segments([(i, s) for i, s in enumerate(scores) if s != DRIFT], DRIFT), len(words)
+        if self.pairs:
+            for i in range(1, len(words)):
+                found = self.pairs.get(f"{words[i - 1]} {words[i]}")
+                if found is not None and found > scores[i]:
+                    scores[i] = found
+        return [(i, s) for i, s in enumerate(scores) if s > 0] if any(scores) else [], len(words)
 
     def log_p(self, score: float, n: int) -> float:
         """Natural logarithm of the chance that a clean text of n tokens has a segment of this score."""
@@ -128,169 +165,264 @@ class Model:
 
     def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
         """Every significant passage: first and last token, score, p."""
-        found, n = self.segments(text)
-        return [(a, b, s, math.exp(lp)) for a, b, s in found if (lp := self.log_p(s, n)) <= math.log(P_PASSAGE)]
-
-    def evidence(self, text: str | None) -> tuple[float, int, tuple[int, int] | None]:
-        """What the significant passages weigh together, how many they are, where the strongest is."""
-        found, n = self.segments(text)
-        strong = [(lp, a, b) for a, b, s in found if (lp := self.log_p(s, n)) <= math.log(P_PASSAGE)]
-        if not strong:
-            return 0.0, 0, None
-        best = min(strong)
-        return math.log1p(-sum(x[0] for x in strong)), len(strong), best[1:]
-
-    def probability(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.offset))))
-
-
-def _log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> list:
-    """The most significant tokens of ``counts(kind, token, toxic, clean)`` with their log-odds."""
-    a = F.lit(FLAT) + PRIOR * (F.col("toxic") + F.col("clean")) / float(n_toxic + n_clean)
-    t, c = F.col("toxic") + a, F.col("clean") + a
-    odds = F.log(t / F.greatest(n_toxic + 2 * a - t + 1, F.lit(1e-9))) - F.log(c / F.greatest(n_clean + 2 * a - c + 1, F.lit(1e-9)))
-    sd = F.sqrt(1 / t + 1 / c)
-    scored = counts.where("token <> ''").select("kind", "token", (odds - LOWER * sd).alias("odds"), (odds / sd).alias("z"))
-    return scored.where(F.col("z") >= F.when(F.col("kind") == 0, Z_MIN).otherwise(Z_MIN_PREFIX)).orderBy(F.desc("z"), "kind", "token").limit(MODEL_TOKENS).collect()
-
-
-def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Newton steps for a logistic curve through weighted (x, y), with a weak ridge so that separable data end."""
-    a = np.column_stack([x, np.ones_like(x)])
-    w = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weight * (p - y)) + 1e-2 * w
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1])
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``rows`` labelled rows, chosen by a hash of the key; equal texts count once.
+        found, n = self.hits(text)
+        return [(a, b, s, math.exp(lp)) for a, b, s in maximal_segments(found, self.drift) if (lp := self.log_p(s, n)) <= math.log(P_PASSAGE)]
+
+    def evidence(self, found: list[tuple[int, float]], n: int) -> tuple[tuple[float, float], int, tuple[int, int] | None]:
+        """Strongest segment's ``-log p`` and density of scores; how many passages there are, where the strongest is."""
+        if not found:
+            return (0.0, 0.0), 0, None
+        strength = sorted((self.log_p(s, n), a, b) for a, b, s in maximal_segments(found, self.drift))
+        passages = sum(lp <= math.log(P_PASSAGE) for lp, *_ in strength)
+        x = min(-strength[0][0], MOST_EVIDENCE) / 10, math.log1p(1000 * sum(s for _, s in found) / (n + 20))
+        return x, passages, strength[0][1:] if passages else None
+
+    def probability(self, x: tuple[float, float]) -> float:
+        a, b, c = self.weights
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x[0] + b * x[1] + c))))
+
+
+def _odds(toxic, clean, n_toxic: float, n_clean: float, prior: float, rest: float, log, most):
+    """Log-odds of toxic against clean counts among so many, and their standard deviation; on arrays or columns."""
+    a = FLAT + prior * (toxic + clean) / (n_toxic + n_clean)
+    t, c = toxic + a, clean + a
+    return log(t / most(n_toxic + rest * a - t, 1.0)) - log(c / most(n_clean + rest * a - c, 1.0)), (1 / t + 1 / c) ** 0.5
+
+
+def _selected(names: list[str], rows: np.ndarray, types: np.ndarray, n_rows: np.ndarray, n_types: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
+    """Scores of the significant grams and pairs, of which ``rows[y]`` rows and ``types[y]`` distinct tokens of rows have each."""
+    if not names or not n_rows.all() or not n_types.all():
+        return {}, {}
+    by_rows, sd_rows = _odds(rows[1], rows[0], n_rows[1], n_rows[0], PRIOR_ROWS, 2.0, np.log, np.maximum)
+    by_types, sd_types = _odds(types[1], types[0], n_types[1], n_types[0], PRIOR_TOKENS, 2.0, np.log, np.maximum)
+    scores = by_types - LOWER * sd_types
+    good = (by_rows >= Z_MIN * sd_rows) & (by_types >= Z_MIN * sd_types) & (scores >= ODDS_MIN) & (rows[1] >= LEAST)
+    longest, longer = max(GRAMS), defaultdict(float)  # most toxic rows of a longer gram
+    for name, n in zip(names, rows[1], strict=True):
+        if " " not in name:
+            for part in (name[1:], name[:-1]) if len(name) <= longest else (name[i : i + longest] for i in range(len(name) - longest + 1)):
+                longer[part] = max(longer[part], n)
+    chosen = {names[i]: (min(MOST_SCORE, float(scores[i])), rows[1][i]) for i in np.flatnonzero(good)}
+    single = {g: s for g, (s, n) in chosen.items() if " " not in g and longer[g] < CLOSED * n}
+    alone = _Scores(single)
+    return single, {p: s for p, (s, _) in chosen.items() if " " in p and not any(alone[w] for w in p.split(" "))}
+
+
+def _tally(add) -> object:
+    """A mapInArrow function: ``add(batch, toxic, clean)`` fills two counters, which leave as ``token, toxic, clean``."""
 
-    Null keys, texts and labels are left out. Without a toxic or a clean row the model finds nothing.
-    """
-    spark = docs.sparkSession
-    chosen = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
-        .orderBy(F.xxhash64(F.lit("toxicity"), "k"), "k").limit(rows)
-    )
-    # F.broadcast: at most ``rows`` pairs of numbers
-    pairs = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k")
-    sample = staged(pairs.withColumn("h", F.xxhash64("t")).groupBy("h").agg(F.min_by(F.struct("t", "y"), "k").alias("r")).select("r.t", "r.y", F.pmod("h", F.lit(2)).alias("fold")))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            words = list(seen[0].keys() | seen[1].keys())
-            made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["token", "toxic", "clean"])
+            names = list(seen[0].keys() | seen[1].keys())
+            made = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][w] for w in names], pa.int64()), pa.array([seen[0][w] for w in names], pa.int64())], names=["token", "toxic", "clean"])
             seen[0].clear()
             seen[1].clear()
             return made
 
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[min(1, max(0, y))].update(set(tokens(t)))
-            if len(seen[0]) + len(seen[1]) > 500_000:
-                yield out()
+            for at in range(0, b.num_rows, 500):
+                add(b.slice(at, 500), seen[1], seen[0])
+                if len(seen[0]) + len(seen[1]) > 400_000:
+                    yield out()
         yield out()
 
-    def log_odds(fold: DataFrame) -> tuple[dict, dict, int, int]:
-        n = {r.y: r.n for r in fold.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-        if not n.get(0) or not n.get(1):
-            return {}, {}, n.get(1, 0), n.get(0, 0)
-        words = fold.select("t", "y").mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("token").alias("token")), *[F.struct(F.lit(p).alias("kind"), F.substring("token", 1, p).alias("token")) for p in PREFIXES])
-        every = words.where(F.col("toxic") + F.col("clean") > 0).select("toxic", "clean", F.explode(kinds).alias("k")).select("toxic", "clean", "k.kind", "k.token").where((F.col("kind") == 0) | (F.length("token") == F.col("kind")))
-        # a text with several words of one beginning counts once for each: an upper bound, the same for both classes
-        best = _log_odds(every.groupBy("kind", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), n[1], n[0])
-        score = lambda r: min(MOST_SCORE, float(r.odds))
-        return {r.token: score(r) for r in best if r.kind == 0}, {r.token: score(r) for r in best if r.kind}, n[1], n[0]
-
-    words, prefixes, n_toxic, n_clean = log_odds(sample.where("fold = 0"))
-    if not n_toxic or not n_clean or not (words or prefixes):
-        words, prefixes, n_toxic, n_clean = log_odds(sample)
-        if not (words or prefixes):
-            return Model()
-    first = Model(words, prefixes)
-    shared = spark.sparkContext.broadcast(first)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with a segment one by one; of the others, and of clean tokens by score, one summary a partition."""
-        m = shared.value
-        bare, tokens_by_score = {0: [0, 0], 1: [0, 0]}, Counter()
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+    return run
+
+
+def _count_words(b: pa.RecordBatch, toxic: Counter, clean: Counter) -> None:
+    """t, y -> rows of every word; of pairs in toxic rows, which alone can become features; under a blank, all distinct words."""
+    for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        words = tokens(t)
+        types = set(words) - {""}
+        (toxic if y else clean).update(types)
+        (toxic if y else clean)[" "] += len(types)
+        if y:
+            toxic.update(set(pairs_of(words)))
+
+
+def _count_grams(b: pa.RecordBatch, toxic: Counter, clean: Counter) -> None:
+    """token, toxic, clean of words -> the same of their grams."""
+    for word, t, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for g in grams(word):
+            if t:
+                toxic[g] += t
+            if c:
+                clean[g] += c
+
+
+def _count_rows(names: list[str]):
+    """t, y, fold -> fold, y, id, rows, types of the features ``names``; the id -1 has rows and distinct words in all."""
+    at = {name: i for i, name in enumerate(names)}
+    pairs = any(" " in name for name in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, types, known = defaultdict(Counter), defaultdict(Counter), {}
+        for b in batches:
+            for t, y, fold in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                words = tokens(t)
+                distinct = set(words) - {""}
+                here = Counter()
+                for w in distinct:
+                    ids = known.get(w)
+                    if ids is None:
+                        if len(known) >= CACHED:
+                            known.clear()
+                        ids = known[w] = [at[g] for g in grams(w) if g in at]
+                    if ids:
+                        here.update(ids)
+                if pairs:
+                    here.update({at[p] for p in pairs_of(words) if p in at})
+                rows[fold, y].update(here.keys())
+                rows[fold, y][-1] += 1
+                types[fold, y].update(here)
+                types[fold, y][-1] += len(distinct)
+        for (fold, y), n in rows.items():
+            ids = list(n)
+            own = types[fold, y]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([fold] * len(ids), pa.int32()), pa.array([y] * len(ids), pa.int32()), pa.array(ids, pa.int32()), pa.array([n[i] for i in ids], pa.int64()), pa.array([own[i] for i in ids], pa.int64())],
+                names=["fold", "y", "id", "rows", "types"],
+            )
+
+    return run
+
+
+def _find_hits(models):
+    """t, y, fold -> y, m, n, places, scores: rows with hits under the model of their fold one by one, m = 1; all others of a class as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+        bare = {0: [0, 0], 1: [0, 0]}
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*rows, strict=True) if rows else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "y", "m", "n", "s"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["y", "m", "n", "places", "scores"])
 
         for b in batches:
             out = []
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found, n = m.segments(t)
-                y = int(y > 0)
-                if not y:
-                    tokens_by_score.update(round(s, 1) for s in map(m._scores.__getitem__, tokens(t)) if s > 0)
+            for t, y, fold in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                found, n = models.value[fold].hits(t)
                 if found:
-                    out.append((0, y, 1, n, [s for *_, s in found]))
+                    out.append((y, 1, n, [i for i, _ in found], [s for _, s in found]))
                 else:
                     bare[y][0] += 1
                     bare[y][1] += n
             yield made(out)
-        yield made([(1, y, k, n, []) for y, (k, n) in bare.items()] + [(2, 0, 0, 0, [x for pair in tokens_by_score.items() for x in pair])])
-
-    seen = sample.where("fold = 1").select("t", "y").mapInArrow(scan, "kind int, y int, m long, n long, s array<double>").collect()  # few of at most ``rows`` rows
-    rows_seen = [r for r in seen if r.kind == 0]
-    bare = [r for r in seen if r.kind == 1 and r.m]
-    if not rows_seen and not bare:
-        return first
-    hits: Counter = Counter()
-    for r in seen:
-        if r.kind == 2:
-            hits.update(dict(zip(r.s[::2], map(int, r.s[1::2]), strict=True)))
-    clean = [r for r in rows_seen if not r.y]
-    n_bare, tokens_bare = sum(r.m for r in bare if not r.y), sum(r.n for r in bare if not r.y)
-    total = sum(r.n for r in clean) + tokens_bare + 1
-    # lambda: the positive root of sum p(s) exp(lambda s) = 1 over clean tokens, each score having been met once more
-    steps = [(s, (n + (s == MOST_SCORE)) / total) for s, n in (hits | Counter({MOST_SCORE: hits[MOST_SCORE]})).items()] or [(MOST_SCORE, 1 / total)]
-    p0 = 1 - sum(p for _, p in steps)
-    low, high = 1e-6, 20.0
-    for _ in range(80):
+        yield made([(y, m, n, [], []) for y, (m, n) in bare.items() if m])
+
+    return run
+
+
+def _extreme_value(clean: list[tuple[list[tuple[int, float]], int]], n_bare: int, tokens_bare: int, drift: float) -> tuple[float, float]:
+    """Lambda and K from the hits of clean rows and how many rows and tokens have none."""
+    total = sum(n for _, n in clean) + tokens_bare + 1
+    seen = Counter(round(s, 1) for found, _ in clean for _, s in found) + Counter({MOST_SCORE: 1})  # as if the best score had been met once more
+    steps = [(s, n / total) for s, n in seen.items()]
+    p0, low, high = 1 - sum(p for _, p in steps), 1e-6, 20.0
+    for _ in range(80):  # the positive root of sum p(s) exp(lambda s) = 1
         mid = (low + high) / 2
-        low, high = (mid, high) if p0 * math.exp(DRIFT * mid) + sum(p * math.exp(s * mid) for s, p in steps) < 1 else (low, mid)
-    lam = low
-    k = (len(clean) + n_bare + 1) / (sum(r.n * math.exp(-lam * max(r.s)) for r in clean) + tokens_bare + 1)  # most likely K for the maxima of clean rows
-    model = Model(words, prefixes, lam, k)
+        low, high = (mid, high) if p0 * math.exp(drift * mid) + sum(p * math.exp(s * mid) for s, p in steps) < 1 else (low, mid)
+    best = [(n, max(s for *_, s in maximal_segments(found, drift))) for found, n in clean]
+    return low, (len(best) + n_bare + 1) / (sum(n * math.exp(-low * s) for n, s in best) + tokens_bare + 1)  # most likely K for the maxima
+
+
+def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Newton steps for weighted logistic regression; a ridge on all but the constant, so that separable data end."""
+    a, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    ridge = np.diag([RIDGE] * x.shape[1] + [1e-2])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (p - y)) + ridge @ w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(map(float, w))
+
 
-    def evidence(r) -> float:
-        strong = [lp for s in r.s if (lp := model.log_p(s, r.n)) <= math.log(P_PASSAGE)]
-        return math.log1p(-sum(strong)) if strong else 0.0
+def _near_copy_keys(words: Column) -> Column:
+    """Three min-wise samples of the runs of three words; ``words`` must be a column, which lambdas read again and again."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.array(*[F.array_min(F.transform(runs, lambda r, s=s: F.xxhash64(F.lit(s), r))) for s in range(3)])
 
-    fitted = [(evidence(r), r.y, 1) for r in rows_seen] + [(0.0, r.y, r.m) for r in bare]
-    slope, offset = _fit_logistic(*map(np.array, zip(*[map(float, x) for x in fitted], strict=True)))
-    more_words, more_prefixes, *_ = log_odds(sample)  # the scores themselves come from all rows
-    return Model(more_words or words, more_prefixes or prefixes, lam, k, max(slope, 1e-3), offset)
+
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
+    """``t, y, fold`` of at most ``rows`` labelled rows; of texts that share a near-copy key, one."""
+    chosen = (
+        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y"))
+        .orderBy(F.xxhash64(F.lit("toxicity"), "k"), "k").limit(rows)
+    )
+    # F.broadcast, twice: at most ``rows`` rows of numbers
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k")
+    found = found.select("t", "y", F.struct(F.xxhash64("t").alias("h"), "k", F.monotonically_increasing_id().alias("r")).alias("row"), F.split(F.lower("t"), r"[^\p{L}]+").alias("w"))
+    found = staged(found.select("t", "y", "row", _near_copy_keys(F.col("w")).alias("m")))
+    one = found.select("row", "m")
+    for i in range(3):
+        one = one.groupBy(F.col("m")[i]).agg(F.min("row").alias("row"), F.min_by("m", "row").alias("m")).select("row", "m")
+    kept = found.join(F.broadcast(one.select(F.col("row.r").alias("r"))), F.col("row.r") == F.col("r"))
+    return staged(kept.repartition("r").select("t", "y", F.pmod("row.h", F.lit(FOLDS)).cast("int").alias("fold")))  # dealt evenly: three passes follow
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+    """Train on at most ``rows`` labelled rows, chosen by a hash of the key; equal and near-equal texts count once.
+
+    Null keys, texts and labels are left out; of several labels of a key the largest counts. Without a toxic or a clean
+    row, or a significant feature, the model finds nothing.
+    """
+    spark, sample = docs.sparkSession, _sample(docs, labels, key, text, label, rows)
+    made = "token string, toxic long, clean long"
+    words = staged(sample.select("t", "y").mapInArrow(_tally(_count_words), made).groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    total = words.where("token = ' '").first()
+    if total is None or not total.toxic or not total.clean:
+        return Model()
+    every = words.where(F.instr("token", " ") == 0).mapInArrow(_tally(_count_grams), made).groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    odds, sd = _odds(F.col("toxic"), F.col("clean"), float(total.toxic), float(total.clean), PRIOR_TOKENS, 2.0, F.log, lambda a, b: F.greatest(a, F.lit(b)))
+    likely = every.where((F.col("toxic") >= LEAST) & (odds >= Z_LIKELY * sd)).select("token").unionByName(words.where((F.col("toxic") >= LEAST) & (F.instr("token", " ") > 1)).select("token"))
+    names = sorted(r.token for r in likely.collect())  # of at most ``rows`` rows
+    counted = sample.select("t", "y", "fold").mapInArrow(_count_rows(names), "fold int, y int, id int, rows long, types long")
+    counted = counted.groupBy("fold", "y", "id").agg(F.sum("rows").alias("rows"), F.sum("types").alias("types")).toArrow()
+    rows_of, types_of = np.zeros((FOLDS, 2, len(names) + 1)), np.zeros((FOLDS, 2, len(names) + 1))
+    where = tuple(counted.column(c).to_numpy() for c in ("fold", "y", "id"))  # the id -1 is the last place
+    rows_of[where], types_of[where] = counted.column("rows").to_numpy(), counted.column("types").to_numpy()
+
+    def selected(folds: list[int]) -> tuple[dict, dict]:
+        r, t = rows_of[folds].sum(axis=0), types_of[folds].sum(axis=0)
+        return _selected(names, r[:, :-1], t[:, :-1], r[:, -1], t[:, -1])
+
+    all_folds = list(range(FOLDS))
+    grams_, pairs_ = selected(all_folds)
+    if not grams_ and not pairs_:
+        return Model()
+    models = spark.sparkContext.broadcast([Model(*selected([f for f in all_folds if f != fold])) for fold in all_folds])
+    seen = sample.select("t", "y", "fold").mapInArrow(_find_hits(models), "y int, m long, n long, places array<int>, scores array<double>").collect()  # hits of at most ``rows`` rows
+    hit = [(list(zip(r.places, r.scores, strict=True)), r.n, r.y) for r in seen if r.places]
+    bare = {y: (sum(r.m for r in seen if not r.places and r.y == y), sum(r.n for r in seen if not r.places and r.y == y)) for y in (0, 1)}
+    hits = [sum(len(h) for h, _, y in hit if y == c) for c in (0, 1)]
+    n_tokens = [sum(n for _, n, y in hit if y == c) + bare[c][1] + 1 for c in (0, 1)]
+    gained = sum(s for h, _, y in hit if not y for _, s in h) / n_tokens[0]
+    # the log-odds of a token without a feature; a clean text must lose on average
+    drift = min(-0.01, math.log((1 - hits[1] / n_tokens[1]) / (1 - hits[0] / n_tokens[0])) if hits[1] < n_tokens[1] and hits[0] < n_tokens[0] else -0.01, -1.5 * gained)
+    lam, k = _extreme_value([(h, n) for h, n, y in hit if not y], *bare[0], drift)
+    model = Model(grams_, pairs_, drift, lam, k)
+    x = np.array([model.evidence(h, n)[0] for h, n, _ in hit] + [(0.0, 0.0)] * 2)
+    y, weight = np.array([float(y) for *_, y in hit] + [0.0, 1.0]), np.array([1.0] * len(hit) + [bare[0][0], bare[1][0]])
+    return Model(grams_, pairs_, drift, lam, k, _fit_logistic(x, y, weight))
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score, n_passages, passage_from, passage_to``; passages are counted in words from 0, the last pair
-    is the strongest one's. Rows stay; null and empty texts score as texts without a passage."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_TOKENS tokens
+    is the strongest one's. Rows stay; null and empty texts score as texts without a scoring token."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             for at in range(0, max(1, b.num_rows), 256):
                 part = b.slice(at, 256)
-                rows = [m.evidence(t) for t in part.column(1).to_pylist()]
+                rows = [m.evidence(*m.hits(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([m.probability(e) for e, _, _ in rows], pa.float64()), pa.array([n for _, n, _ in rows], pa.int32()),
+                    [part.column(0), pa.array([m.probability(x) for x, _, _ in rows], pa.float64()), pa.array([n for _, n, _ in rows], pa.int32()),
                      pa.array([w and w[0] for _, _, w in rows], pa.int32()), pa.array([w and w[1] for _, _, w in rows], pa.int32())],
                     names=["k", "score", "n_passages", "passage_from", "passage_to"],
                 )
