@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import staged
-from corpusloom.llm._graph import components
+from corpusloom.llm._graph import attached, components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -33,6 +33,8 @@ DEPTH = 4
 CANDIDATE = 0.6
 #: Texts and words of one exact comparison; larger components are compared block against block.
 BLOCK_TEXTS, BLOCK_WORDS = 1024, 1_500_000
+#: Elements of so many sets are counted pair by pair.
+FEW = 12
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -252,8 +254,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
     """Boolean matrix of the pairs of sorted sets whose Jaccard similarity reaches the threshold, exactly.
 
-    Intersections come from a matrix product over the elements that two sets or more have; where that
-    would cost more than intersecting the pairs that sketches leave, those pairs are intersected.
+    Elements that the same sets have count as one with a weight (128 random bits tell these groups apart). Those of few sets
+    are counted pair by pair, the others by a matrix product; either way every pair's intersection is complete.
     """
     m, size = len(sets), np.array([len(s) for s in sets])
     if m == 2:
@@ -261,33 +263,33 @@ def similar(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
         hit = both >= threshold * (size.sum() - both) - 1e-9
         return np.array([[False, hit], [hit, False]])
     values, rows = np.concatenate(sets), np.repeat(np.arange(m), size)
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values, kind="stable")  # rows of an element stay in order
     values, rows = values[order], rows[order]
-    ids = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
-    often = np.bincount(ids)[ids] > 1
-    ids, rows = ids[often], rows[often]
-    if len(ids):
-        ids = np.unique(ids, return_inverse=True)[1]
-    width = int(ids[-1]) + 1 if len(ids) else 0
-    fits = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9
-    np.fill_diagonal(fits, False)
-    if m > 64 and width * m * m / 2e10 > 0.5:
-        all_h = np.concatenate(sets).view(np.uint64)
-        s = sketch(all_h, np.concatenate([[0], np.cumsum(size)]))
-        likely = np.triu(fits & (_agreement(s) >= CANDIDATE * POSITIONS))
-        if likely.sum() * 4e-5 < width * m * m / 2e10:
-            out = np.zeros((m, m), bool)
-            for i, j in zip(*np.nonzero(likely), strict=True):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                out[i, j] = out[j, i] = both >= threshold * (size[i] + size[j] - both) - 1e-9
-            return out
-    both, step = np.zeros((m, m), np.float32), max(64, (1 << 22) // m)
-    for a in range(0, width, step):
-        x = np.zeros((m, min(step, width - a)), np.float32)
-        lo, hi = np.searchsorted(ids, [a, a + step])
-        x[rows[lo:hi], ids[lo:hi] - a] = 1
-        both += x @ x.T
-    return fits & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    often = np.diff(np.append(first, len(values)))
+    code = np.random.default_rng(7).integers(0, 1 << 63, (m, 2), dtype=np.uint64)
+    owners = np.stack([np.add.reduceat(code[rows, i], first) for i in (0, 1)], axis=1)
+    _, one, weight = np.unique(np.column_stack([owners, often.astype(np.uint64)]), axis=0, return_index=True, return_counts=True)
+    both = np.zeros(m * m)
+    for n in range(2, FEW + 1):  # pairs of at most FEW sets: no more than FEW times the elements
+        at = np.flatnonzero(often[one] == n)
+        if len(at):
+            owning = rows[first[one[at]][:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            both += np.bincount((owning[:, i] * m + owning[:, j]).ravel(), np.repeat(weight[at], len(i)).astype(float), m * m)
+    both = both.reshape(m, m)
+    both += both.T
+    many = np.flatnonzero(often[one] > FEW)
+    step = max(64, (1 << 22) // m)
+    for a in range(0, len(many), step):
+        part = many[a : a + step]
+        n = often[one[part]]
+        x = np.zeros((m, len(part)), np.float32)
+        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x[rows[np.repeat(first[one[part]], n) + own], np.repeat(np.arange(len(part)), n)] = 1
+        both += (x * weight[part].astype(np.float32)) @ x.T  # whole numbers below 2**24: BLOCK_WORDS bounds them
+    np.fill_diagonal(both, 0)
+    return both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,8 +362,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     found = staged(components(candidates(contents)))
     sized = found.join(contents.select("cid", "rep", "rep_tk", "n_words"), found.node == contents.cid)
-    weights = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    sought = sized.join(weights, "root").select("root", "blocks", "cid", "rep", "rep_tk")
+    sized = attached(sized, "root", "cid", {"texts": F.count("*"), "all_words": F.sum("n_words")}, {"texts": F.sum("texts"), "all_words": F.sum("all_words")})
+    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("all_words") / BLOCK_WORDS)).cast("int")
+    sought = sized.select("root", blocks.alias("blocks"), "cid", "rep", "rep_tk")
     wanted = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tk"), F.col(text).alias("t")).join(sought, (F.col("tk") == F.col("rep_tk")) & F.col("k").eqNullSafe(F.col("rep")))
     sets = wanted.select("root", "blocks", "cid", word_hashes(F.col("t")).alias("words")).mapInArrow(_sets, "root binary, blocks int, cid binary, shingles array<long>")
     b = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
@@ -371,8 +374,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = components(links.select(F.col("cid").alias("u"), F.col("first").alias("v")))
     linked = links.groupBy("cid").agg(F.sum("n_links").alias("n_links")).join(classes, F.col("cid") == F.col("node")).select("cid", "root", "n_links")
     named = linked.join(contents.select("cid", "rep"), "cid")
-    ids = named.groupBy("root").agg(F.min("rep").alias("class_rep"))
-    linked = linked.join(ids, "root").select("cid", "class_rep", "n_links")
+    linked = attached(named, "root", "cid", {"class_rep": F.min("rep")}, {"class_rep": F.min("class_rep")}).select("cid", "class_rep", "n_links")
     texts = contents.select("cid", "rep", "n").join(linked, "cid", "left").select(
         "cid", F.coalesce("class_rep", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies")
     )

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard_join as jj
@@ -104,9 +105,24 @@ def test_recall_of_the_runs():
     assert all(1 - (1 - jj.reached(d)) ** jj.runs() >= jj.RECALL for d in range(1, jj.DEPTH + 1))
 
 
-def test_similar_is_exact_either_way(monkeypatch):
-    rng = np.random.default_rng(1)
-    base = np.unique(rng.integers(0, 1 << 40, 300))
-    sets = [np.unique(np.concatenate([rng.choice(base, 270, replace=False), rng.integers(0, 1 << 40, int(n))])) for n in rng.integers(0, 60, 90)]
-    plain = np.array([[i != j and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+@pytest.mark.parametrize("few", [1, 3, 12, 1000])
+@pytest.mark.parametrize("m", [3, 90, 400])
+def test_similar_is_exact_on_every_path(monkeypatch, few, m):
+    """Elements counted by pairs, by products, and both; near copies, strangers and equal sets in one large block."""
+    monkeypatch.setattr(jj, "FEW", few)
+    rng = np.random.default_rng(m)
+    bases = [np.unique(rng.integers(-(1 << 40), 1 << 40, 300)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(bases[i % 4], 270, replace=False), rng.integers(0, 1 << 40, int(n))])) for i, n in enumerate(rng.integers(0, 60, m))]
+    sets[1] = sets[0]
+    sizes = np.array([len(s) for s in sets])
+    both = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
+    plain = (both >= 0.8 * (sizes[:, None] + sizes[None, :] - both)) & ~np.eye(m, dtype=bool)
     assert (jj.similar(sets) == plain).all() and plain.any() and not plain.all()
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    from corpusloom.llm._graph import components
+
+    edges = [(0, i) for i in range(2, 900)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5001), (5001, 5000), (7, 7)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    assert found == {0: 0, **{i: 0 for i in range(2, 900)}, **{i: 1000 for i in range(1000, 1101)}, 5000: 5000, 5001: 5000}
