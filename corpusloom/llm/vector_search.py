@@ -1,15 +1,15 @@
 """Exact top-k search by inner product over one KD-tree per shard.
 
-A shard of at most about ``SHARD`` vectors is split at medians of its widest dimension down to leaves of
-``LEAF`` vectors; every node keeps its tight bounding box. The most that a box allows a query is the
-sum over dimensions of the larger of ``q * low`` and ``q * high``. A query walks a tree best box first and
-stops where the best box left cannot beat its k-th score. That score is carried from shard to shard:
-each block of queries searches one shard first, and takes what it found to all others.
+The first median splits are made once, on a bounded sample (``CELL_SAMPLE``), and deal all vectors to cells of like vectors; a
+cell of more than ``SHARD`` vectors is dealt further by a hash, so that copies of one vector meet in no single task. Each shard is split at
+medians of its widest dimension down to leaves of ``LEAF`` vectors, each with its tight bounding box. The most that a box allows
+a query is the sum over dimensions of the larger of ``q * low`` and ``q * high``. A query visits leaves best bound first, in steps
+of 1, 1, 2, 4, ... leaves between which its k-th score is raised, and stops where the best bound left cannot reach it. That score is
+carried from shard to shard: queries first search the shard whose box promises them most, in blocks, and take what they found to all others.
 """
 
 from __future__ import annotations
 
-import heapq
 import io
 from collections.abc import Iterator
 
@@ -23,9 +23,15 @@ from corpusloom.llm._common import staged
 SHARD = 8_192
 LEAF = 64
 QUERY_BLOCK = 512
+#: Vectors from which the first splits are made, and the fewest of them in a cell.
+CELL_SAMPLE, CELL_LEAST = 16_384, 64
+#: Blocks of queries that one task takes through a shard's tree, which it loads once.
+BLOCKS_A_TASK = 8
 #: Below this, sums of products of whole numbers are exact in a double.
 EXACT = float(1 << 53)
-NONE = -(1 << 62)
+LONG = (1 << 63) - 1
+#: Where a query has no k-th score yet.
+NONE = -LONG - 1
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -50,39 +56,84 @@ def widened(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] == width else np.hstack([x, np.zeros((len(x), width - x.shape[1]), x.dtype)])
 
 
+def _halves(x: np.ndarray, part: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray] | None:
+    """Dimension, cut, rows below it and the others: a median split of the widest dimension; None where all vectors are equal."""
+    if not x.shape[1]:
+        return None
+    own = x[part]
+    span = own.max(axis=0).astype(np.float64) - own.min(axis=0)
+    wide = int(span.argmax())
+    along = own[:, wide]
+    low, cut = along.min(), np.median(along)
+    if span[wide] <= 0 or low == along.max():
+        return None
+    left = along < cut if low < cut else along <= low
+    return wide, float(cut) if low < cut else float(np.nextafter(float(low), np.inf)), part[left], part[~left]
+
+
+class Cells:
+    """The first splits: ``dim`` (-1 at cells), ``cut``, and ``child`` numbers of the two halves (of a cell: its own number, twice)."""
+
+    def __init__(self, x: np.ndarray, n_cells: int):
+        self.nodes, self.boxes = [], []
+        most = max(CELL_LEAST, -(-len(x) // max(1, n_cells)))
+        self._split(x, np.arange(len(x)), most)
+
+    def _split(self, x: np.ndarray, part: np.ndarray, most: int) -> int:
+        me = len(self.nodes)
+        halves = _halves(x, part) if len(part) > most else None
+        if halves is None:
+            self.nodes.append([-1, 0.0, len(self.boxes), len(self.boxes)])
+            own = x[part]
+            self.boxes.append((own.min(axis=0), own.max(axis=0)) if len(own) else (np.zeros(x.shape[1], np.int64),) * 2)
+        else:
+            wide, cut, left, right = halves
+            self.nodes.append([wide, cut, 0, 0])
+            self.nodes[me][2:] = self._split(x, left, most), self._split(x, right, most)
+        return me
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row."""
+        out, stack = np.zeros(len(x), np.int32), [(0, np.arange(len(x)))]
+        while stack:
+            node, part = stack.pop()
+            dim, cut, a, b = self.nodes[node]
+            if dim < 0:
+                out[part] = a
+                continue
+            left = (x[part, dim] if dim < x.shape[1] else np.zeros(len(part))) < cut
+            stack += [(a, part[left]), (b, part[~left])]
+        return out
+
+    def best(self, q: np.ndarray) -> np.ndarray:
+        """For each query the cell whose box allows it most."""
+        low, high = (np.array([box[i] for box in self.boxes], np.float64) for i in (0, 1))
+        width = max(low.shape[1], q.shape[1])
+        q, low, high = (widened(a.astype(np.float64), width) for a in (q, low, high))
+        return (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).argmax(axis=1).astype(np.int32)
+
+
 class Tree:
-    """Nodes in preorder: ``right`` child (0 at leaves; the left one follows), rows ``first`` to ``last``, box, least id."""
+    """Leaves of a KD-tree in order: rows ``first`` to ``last`` and the tight box of each."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order, nodes = np.lexsort((ids,)), []
-        rows: list[np.ndarray] = []
-        stack, done = [(order, -1)], 0
+        rows, stack = [], [np.lexsort((ids,))]
         while stack:
-            part, parent = stack.pop()
-            me = len(nodes)
-            if parent >= 0:
-                nodes[parent][0] = me
-            own = x[part]
-            low, high = own.min(axis=0), own.max(axis=0)
-            nodes.append([0, done, done + len(part), low, high, ids[part].min()])
-            wide = int((high - low).argmax()) if x.shape[1] else 0
-            if len(part) <= LEAF or not x.shape[1] or low[wide] == high[wide]:
+            part = stack.pop()
+            halves = _halves(x, part) if len(part) > LEAF else None
+            if halves is None:
                 rows.append(part)
-                done += len(part)
-                continue
-            along = own[:, wide]
-            cut = np.median(along)
-            left = along < cut if (along < cut).any() else along <= cut
-            stack.append((part[~left], me))
-            stack.append((part[left], -1))
+            else:
+                stack += [halves[3], halves[2]]
         take = np.concatenate(rows)
         self.ids, self.x = ids[take], x[take]
-        self.right = np.array([n[0] for n in nodes])
-        self.first, self.last = np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes])
-        self.low, self.high = np.array([n[3] for n in nodes]), np.array([n[4] for n in nodes])
-        self.least = np.array([n[5] for n in nodes])
+        self.last = np.cumsum([len(r) for r in rows])
+        self.first = self.last - [len(r) for r in rows]
+        self.low, self.high = (np.array([f(x[r], axis=0) for r in rows]) for f in (np.min, np.max))
 
-    FIELDS = ("ids", "x", "right", "first", "last", "low", "high", "least")
+    FIELDS = ("ids", "x", "first", "last", "low", "high")
+    #: Leaves that queries have visited.
+    visited = 0
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -97,43 +148,45 @@ class Tree:
                 setattr(tree, f, z[f])
         return tree
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, known: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """For each query the (score, id) of what is among its k best here and at least ``known``, its k-th score elsewhere."""
+    def search(self, q_ids: np.ndarray, q: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, id and score of what is among a query's k best here and at least ``known``, its k-th score elsewhere."""
         width = max(q.shape[1], self.x.shape[1])
         q, x, low, high = (widened(a, width) for a in (q, self.x, self.low, self.high))
-        largest = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(width, 1)
-        kind = np.float64 if largest < EXACT else object
+        most = lambda a: max(abs(int(a.min(initial=0))), abs(int(a.max(initial=0))))
+        kind = np.float64 if float(most(x)) * most(q) * max(width, 1) < EXACT else object
         q, x, low, high = (a.astype(kind) for a in (q, x, low, high))
-        bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-        return [self._walk(int(i), v, b, x, int(floor), k) for i, v, b, floor in zip(q_ids, q, bounds, known, strict=True)]
-
-    def _walk(self, own: int, q: np.ndarray, bound: np.ndarray, x: np.ndarray, floor: int, k: int) -> list[tuple[int, int]]:
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-        queue = [(-bound[0], 0)]
-        right, first, last = self.right, self.first, self.last
-        while queue:
-            most, node = heapq.heappop(queue)
-            most = -most
-            if most < floor or len(best) == k and most < best[0][0]:
+        clipped = (lambda a: a) if kind is np.float64 else (lambda a: np.clip(a, -LONG - 1, LONG))
+        bounds = clipped(np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        floor = known.astype(kind)
+        at, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+        begin, end = 0, 1
+        while begin < len(self.first):
+            chunk = order[:, begin:end]
+            goes = np.take_along_axis(bounds, chunk, 1) >= floor[:, None]
+            if not goes.any():
                 break
-            if len(best) == k and most == best[0][0] and self.least[node] > -best[0][1]:
-                continue  # at most ties with larger ids
-            if right[node]:
-                heapq.heappush(queue, (-bound[node + 1], node + 1))
-                heapq.heappush(queue, (-bound[right[node]], right[node]))
-                continue
-            a, b = first[node], last[node]
-            scores = x[a:b] @ q
-            least = max(floor, best[0][0]) if len(best) == k else floor
-            for i in np.flatnonzero(scores >= least):
-                found = (int(scores[i]), -int(self.ids[a + i]))
-                if -found[1] == own:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, found)
-                elif found > best[0]:
-                    heapq.heapreplace(best, found)
-        return [(s, -i) for s, i in best]
+            found = [(at, ids, scores)]
+            asks, places = np.nonzero(goes)
+            leaves = chunk[asks, places]
+            by_leaf = np.argsort(leaves, kind="stable")
+            asks, leaves = asks[by_leaf], leaves[by_leaf]
+            cuts = np.flatnonzero(np.diff(leaves, prepend=-1))
+            self.visited += len(leaves)
+            for a, b in zip(cuts, np.append(cuts[1:], len(leaves)), strict=True):
+                rows, own = slice(self.first[leaves[a]], self.last[leaves[a]]), asks[a:b]
+                s = clipped(q[own] @ x[rows].T)
+                i, j = np.nonzero((s >= floor[own][:, None]) & (q_ids[own][:, None] != self.ids[rows][None, :]))
+                found.append((own[i], self.ids[rows][j], s[i, j]))
+            at, ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+            best = np.lexsort((ids, -scores, at))
+            at, ids, scores = at[best], ids[best], scores[best]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            full = rank == k - 1
+            floor[at[full]] = np.maximum(floor[at[full]], scores[full])
+            at, ids, scores = at[rank < k], ids[rank < k], scores[rank < k]
+            begin, end = end, end * 2
+        return at, ids, scores
 
 
 def _blobs(pack, names: tuple[str, ...]):
@@ -159,17 +212,39 @@ def _block(g: pa.RecordBatch) -> bytes:
 
 
 def _search(k: int):
-    """tree, queries -> query_id, vec_id, score."""
+    """task, kind, data in order, a tree (kind 0) before the blocks that go through it -> query_id, vec_id, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for b in batches:
-            for data, queries in zip(b.column(0), b.column(1), strict=True):
-                tree = Tree.load(data.as_py())
-                with np.load(io.BytesIO(queries.as_py())) as z:
-                    ids, found = z["ids"], tree.search(z["ids"], z["q"], z["known"], k)
-                rows = [(int(i), v, s) for i, best in zip(ids, found, strict=True) for s, v in best]
-                q, v, s = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+            for kind, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                if kind == 0:
+                    tree = Tree.load(data.as_py())
+                    continue
+                with np.load(io.BytesIO(data.as_py())) as z:
+                    ids, (at, vec, s) = z["ids"], tree.search(z["ids"], z["q"], z["known"], k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(vec), pa.array(np.array([int(v) for v in s], np.int64))], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _through(asked: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """Take ``asked(shard, part, queries)`` through ``trees(shard, tree)``: a task has one tree and the blocks of its part."""
+    parts = asked.select("shard", "part").distinct()
+    both = asked.select("shard", "part", F.lit(1).alias("kind"), F.col("queries").alias("data")).unionByName(
+        trees.join(parts, "shard").select("shard", "part", F.lit(0).alias("kind"), F.col("tree").alias("data"))
+    )
+    task = F.struct("shard", "part").alias("task")
+    return both.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind").select(task, "kind", "data").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+
+
+def _routed(cells, choose: str):
+    """id, v, r -> cell, id, v, r by a method of :class:`Cells`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(getattr(cells.value, choose)(matrix(b.column(1)))), *b.columns], names=["cell", "id", "v", "r"])
 
     return run
 
@@ -191,30 +266,50 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id",
     Ties go to the smaller id; a query's own id is no candidate. Vectors that are null or hold a null
     or non-finite component, and null ids, take no part; of vectors of different lengths the shorter end in zeros. Of rows that repeat an
     id each is a candidate; queries of one id are asked once, with one of its vectors. All rows are indexed, and all
-    queries meet all shards, in blocks of bounded size.
+    queries meet all shards, in blocks of bounded size. Components and scores beyond a long are held to its limits, so such scores tie.
     """
+    from pyspark.sql.window import Window
+
     ready = staged(
         vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"), F.xxhash64(F.monotonically_increasing_id()).alias("r"))
         .where("id is not null and v is not null")
     )
-    n, n_queries = ready.count(), ready.where("asks").select("id").distinct().count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERY_BLOCK))
-    grouped = lambda df, g: df.repartition(g).sortWithinPartitions(g)
-    rows = ready.select(F.pmod("r", F.lit(shards)).cast("int").alias("shard"), "id", "v")
-    trees = staged(grouped(rows, "shard").mapInArrow(_blobs(_tree, ("shard", "tree")), "shard int, tree binary"))
-    asked = ready.where("asks").groupBy("id").agg(F.min("v").alias("v")).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-    asked = staged(grouped(asked, "block").mapInArrow(_blobs(_block, ("block", "queries")), "block int, queries binary"))
-    found_schema = "query_id long, vec_id long, score long"
-
-    home = F.pmod("block", F.lit(shards)).cast("int")
-    first = staged(asked.withColumn("shard", home).join(trees, "shard").select("tree", "queries").mapInArrow(_search(k), found_schema))
+    n = ready.count()
+    sample = ready.orderBy("r").limit(CELL_SAMPLE).select("v").toArrow().column(0).combine_chunks()  # CELL_SAMPLE rows
+    cells = ready.sparkSession.sparkContext.broadcast(Cells(matrix(sample if isinstance(sample, pa.Array) else sample.chunk(0)), -(-n // SHARD)))  # at most CELL_SAMPLE / CELL_LEAST boxes
+    schema, grouped = "cell int, id long, v array<long>, r long", lambda df, g: df.repartition(g).sortWithinPartitions(g)
+    placed = staged(ready.select("id", "v", "r").mapInArrow(_routed(cells, "route"), schema))
+    asked = ready.where("asks").groupBy("id").agg(F.min("v").alias("v"), F.min("r").alias("r")).select("id", "v", "r").mapInArrow(_routed(cells, "best"), schema)
+    asked = staged(asked)
+
+    def numbered(rows: DataFrame, most: int) -> DataFrame:
+        """``cell, start, parts``: how many parts of ``most`` rows a cell takes, numbered over all cells; a row a cell."""
+        sizes = sorted((r.cell, r.n) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect())
+        out, start = [], 0
+        for cell, size in sizes:
+            out.append((cell, start, -(-size // most)))
+            start += out[-1][2]
+        return rows.sparkSession.createDataFrame(out, "cell int, start int, parts int")
+
+    shards, blocks = numbered(placed, SHARD), numbered(asked, QUERY_BLOCK)
+    n_shards, n_blocks = (x.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0] for x in (shards, blocks))
+    if not n_shards or not n_blocks:
+        return ready.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    own = lambda rows, parts, name: rows.join(F.broadcast(parts), "cell").select((F.col("start") + F.pmod("r", "parts")).cast("int").alias(name), "id", "v")
+    trees = staged(grouped(own(placed, shards, "shard"), "shard").mapInArrow(_blobs(_tree, ("shard", "tree")), "shard int, tree binary"))
+    dealt = own(asked, blocks, "block")
+    # a block's home is a shard of its cell, or any where the cell has no row
+    homes = blocks.select("cell", F.explode(F.sequence("start", F.col("start") + F.col("parts") - 1)).alias("block")).join(shards.select("cell", F.col("start").alias("s"), F.col("parts").alias("p")), "cell", "left")
+    homes = homes.select("block", F.coalesce(F.col("s") + F.pmod("block", "p"), F.pmod("block", F.lit(n_shards))).cast("int").alias("home"))
+    made = staged(grouped(dealt, "block").mapInArrow(_blobs(_block, ("block", "queries")), "block int, queries binary").join(homes, "block"))
+
+    part = F.floor(F.col("block") / BLOCKS_A_TASK).cast("int").alias("part")
+    first = staged(_through(made.select(F.col("home").alias("shard"), part, "queries"), trees, k))
     known = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("known")).where(F.col("n") == k)
-    known = known.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "known")).alias("of"))  # about QUERY_BLOCK a block
-    carried = asked.join(known, "block", "left").select("block", "queries", F.col("of.query_id").alias("ids"), F.col("of.known").alias("known")).mapInArrow(_with_known, "block int, queries binary")
-    everywhere = carried.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-    rest = everywhere.repartition("block", "shard").join(trees, "shard").select("tree", "queries").mapInArrow(_search(k), found_schema)
-
-    from pyspark.sql.window import Window
+    known = dealt.select("block", F.col("id").alias("query_id")).join(known, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "known")).alias("of"))  # about QUERY_BLOCK a block
+    carried = made.join(known, "block", "left").select("block", "queries", F.col("of.query_id").alias("ids"), F.col("of.known").alias("known")).mapInArrow(_with_known, "block int, queries binary")
+    everywhere = carried.join(homes, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).where(F.col("shard") != F.col("home"))
+    rest = _through(everywhere.select("shard", part, "queries"), trees, k)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
