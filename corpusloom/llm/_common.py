@@ -15,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where a session on one machine (a local master) names none, as in tests, a temporary folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = getattr(spark.sparkContext, "_corpusloom_shared", None)
     if made is None:
         made = spark.sparkContext._corpusloom_shared = "file://" + tempfile.mkdtemp(prefix="corpusloom-")

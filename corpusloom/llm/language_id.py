@@ -16,11 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from corpusloom.llm._common import staged
 
 BUCKETS = 1 << 16
 DIM = 16
 #: Most labelled rows that training uses, in equal parts by language as far as there are.
 SAMPLE_ROWS = 3_000
+#: Bytes of text from which no further row is taken.
+SAMPLE_BYTES = 64 << 20
 #: Share of right calibration predictions that rejection may cost, and the calibrated probability from which none is rejected.
 REJECT_SHARE = 0.001
 REJECT_BELOW = 0.5
@@ -173,17 +178,19 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
 
 
 def fit_language_model(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``rows`` rows of ``labelled``, chosen by a hash of key and text, about as many of each
-    language. Null languages and null texts are left out; no labelled row gives a model that rejects all."""
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count")).limit(1000).collect()}
-    if not counts:
+    """Train on at most ``rows`` rows and about ``SAMPLE_BYTES`` of ``labelled``, chosen by a hash of key and text, about as many of each
+    language, however many there are. Null languages and null texts are left out; no labelled row gives a model that rejects all."""
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.lit("sample"), F.col(key), F.length(text)).alias("h"))
+    sizes = staged(known.groupBy("l").agg(F.count("*").alias("n")))
+    n_langs = sizes.count()
+    if not n_langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / len(counts) / n)))])
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.length(text)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.least(F.lit(1.0), F.lit(rows / n_langs) / F.col("n"))
+    drawn = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     # the share keeps each draw near its part of ``rows``; the ordered limit makes the bound strict
-    sample = known.select(F.col(text).alias("t"), F.col(lang).alias("l"), drawn.alias("d"), share[F.col(lang)].alias("p")).where(F.col("d") < F.col("p"))
-    got = sample.orderBy(F.col("d") / F.col("p"), "l", "t").limit(rows).collect()
+    sample = known.join(sizes, "l").withColumn("d", drawn / share).where("d < 1").orderBy("d", "l", "t").limit(rows)
+    upto = F.sum(F.octet_length("t").cast("long")).over(Window.orderBy("d", "l", "t").rowsBetween(Window.unboundedPreceding, -1))  # over at most ``rows`` rows
+    got = sample.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < SAMPLE_BYTES).select("t", "l").collect()
     return train([r.t for r in got], [r.l for r in got])
 
 

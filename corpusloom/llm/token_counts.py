@@ -105,6 +105,16 @@ class PretokenCounter:
         return sum(map(self.lengths.__getitem__, self.find(text)))
 
 
+#: The table that this worker's counter was made with, and the counter: its cache lives as long as the worker.
+_own: list = [None, None]
+
+
+def _counter(path: str, pattern: str, tables: tuple) -> PretokenCounter:
+    if _own[0] is not tables:
+        _own[:] = tables, PretokenCounter(path, pattern, *tables)
+    return _own[1]
+
+
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> dict[str, int]:
     """Lengths of the ``FREQUENT`` most frequent space-led words of all documents.
 
@@ -143,7 +153,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, key
     tables = spark.sparkContext.broadcast((frequent_lengths(docs, path, text), odd_characters(_tokenizer(path), pattern)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PretokenCounter(path, pattern, *tables.value)
+        counter = _counter(path, pattern, tables.value)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, max(1, batch.num_rows), 256):

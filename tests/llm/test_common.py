@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from corpusloom.llm import _common
 
 
@@ -9,3 +11,12 @@ def test_staging_and_clearing(spark):
     assert df.count() == 5 and os.path.isdir(path)
     _common.clear_staged(spark)
     assert not os.path.isdir(path) and not _common._written
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": staticmethod(dict)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        _common.shared_dir(Session)

@@ -63,3 +63,15 @@ def test_query_on_held_out_rows(spark, sf_dir):
     known = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
     held = [r for r in op7_language_id(spark, sf_dir).collect() if r.held_out]
     assert len(held) > 30 and np.mean([r.lang_pred == known[r.doc_id] for r in held]) > 0.95
+
+
+def test_sample_has_every_language_and_a_bound_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_BYTES", 40_000)
+    seen = {}
+    monkeypatch.setattr(li, "train", lambda texts, labels: seen.update(texts=texts, labels=labels))
+    rows = [(i, f"text number {i} " * 5, f"l{i % 1200}") for i in range(2400)] + [(i, "x" * 3000, "big") for i in range(3000, 3200)]
+    li.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100_000)
+    assert sum(map(len, seen["texts"])) < 43_000
+    monkeypatch.setattr(li, "SAMPLE_BYTES", 1 << 30)
+    li.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100_000)
+    assert len(set(seen["labels"])) == 1201
