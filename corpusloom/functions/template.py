@@ -41,6 +41,11 @@ def render_chat(msgs: Column, system: str = SYSTEM) -> Column:
     return F.concat(head, F.array_join(F.transform(msgs, turn), ""))
 
 
+def pretrain_prompt(text: Column) -> Column:
+    """What a model without chat tuning is asked: the text after a beginning mark, left open."""
+    return F.concat(F.lit(BOS), text)
+
+
 def response_prompt(prompt: Column, answer: Column, system: str = SYSTEM) -> Column:
     """A user turn and its answer, rendered."""
     return render_chat(F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("user", prompt), ("assistant", answer))]), system)

@@ -49,7 +49,7 @@ def byte_text(ids: Column, skip_special: bool = True) -> Column:
     """The text of ids; a code point that was cut gives a replacement character."""
     chars = F.array(*[F.lit(bytes([b]).decode("latin-1")) for b in sorted(range(256), key=byte_id)])
     word = lambda i: F.when(i >= 3, F.element_at(chars, F.greatest(i - 2, F.lit(1)))).otherwise(F.lit("") if skip_special else F.element_at(F.array(*map(F.lit, SPECIALS)), F.least(i + 1, F.lit(3))))
-    return F.try_validate_utf8(F.encode(F.array_join(F.transform(ids, word), ""), "ISO-8859-1").cast("string"))
+    return F.make_valid_utf8(F.encode(F.array_join(F.transform(ids, word), ""), "ISO-8859-1").cast("string"))
 
 
 def truncate(ids: Column, n: int) -> Column:
@@ -77,6 +77,13 @@ def prompt_budget(max_seq_len: int, max_new_tokens: int) -> int:
     return max(8, max_seq_len - max_new_tokens)
 
 
+def prompt_ids(text: Column, budget: int) -> Column:
+    """A prompt's ids. One of more than ``budget`` is cut to its last ids, decoded and encoded again, as it is shown to the model:
+    a character that the cut goes through becomes replacement characters."""
+    cut = lambda ids: byte_ids(byte_text(tail(ids, budget), skip_special=False))
+    return bind(byte_ids(text), lambda ids: F.when(F.size(ids) > budget, cut(ids)).otherwise(ids))
+
+
 def shift(ids: Column, mask: Column) -> Column:
     """``x, y, loss_mask``: inputs, targets one place on, and the targets' mask."""
     n = F.greatest(F.size(ids) - 1, F.lit(0))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.config import ModelConfig
+from corpusloom.functions import template
+from corpusloom.operators import examples, lm
+from corpusloom.operators.lm import Params
+from corpusloom.sources import artifacts, jsonl
+
 
 def sample_ppl(tokens: DataFrame, sample: str, nll: str = "nll", mask: str | None = None) -> DataFrame:
     """``sample, nll_sum, n_scored, ppl`` of scored tokens; samples without one have null."""
@@ -45,6 +51,27 @@ def report(samples: DataFrame) -> DataFrame:
     return corpus_ppl(samples).crossJoin(F.broadcast(distribution(scorable(samples))))  # one row on either side
 
 
+def score_file(spark: SparkSession, path: str, config: ModelConfig, params: Params, *, max_length: int = 512, field: str = "text", max_samples: int | None = None) -> DataFrame:
+    """``line_no, nll_sum, n_scored, ppl`` of every accepted line of a JSON-lines file, under a network over the byte vocabulary."""
+    texts, _ = jsonl.read_lenient(spark, path, field, max_samples)
+    coded = texts.select("line_no", examples.byte_tokens(template.wrap_text(F.col("text")), min(max_length, config.max_seq_len)).alias("ids"))
+    return with_ppl(lm.score(coded, config, params, "line_no"))
+
+
+def perplexity(spark: SparkSession, path: str, model_path: str, config: ModelConfig, out: str | None = None, **options) -> DataFrame:
+    """The evaluation from file to report: one row of :func:`report` with the places of data and model.
+
+    ``options`` are those of :func:`score_file`. With ``out``, the report is written there as JSON and the samples' own perplexities beside it as Parquet.
+    """
+    params = artifacts.matching(artifacts.params_dict(artifacts.load_weights(spark, model_path)), config.shapes())
+    samples = score_file(spark, path, config, params, **options).persist()
+    made = report(samples).select(F.lit(path).alias("dataset_path"), F.lit(model_path).alias("model_path"), "*")
+    if out:
+        artifacts.write_report(made, f"{out}/report")
+        samples.write.parquet(f"{out}/samples")
+    return made
+
+
 def unigram_scores(targets: DataFrame, sample: str, vocab: int) -> DataFrame:
     """``sample, nll_sum, n_scored``: add-one unigram costs of ``targets(sample, token_id)``, the counts
     taken over all samples. A relational stand-in for a network; everything after it is the same.

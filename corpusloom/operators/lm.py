@@ -1,7 +1,7 @@
 """A small decoder in numpy, scored and run inside Arrow-batched functions.
 
 Pre-norm blocks of grouped-query attention with rotary positions on interleaved pairs and a gated
-feed-forward layer; the output head is the embedding. Logits stay inside a kernel: rows carry a
+feed-forward layer; the output head is the embedding. Everything is computed in the precision of the parameters. Logits stay inside a kernel: rows carry a
 sum of log-probabilities and a count, never (position, vocabulary) tables.
 """
 
@@ -32,7 +32,7 @@ def rms_norm(x: np.ndarray, weight: np.ndarray, eps: float) -> np.ndarray:
 def rotary_table(dim: int, end: int, theta: float) -> tuple[np.ndarray, np.ndarray]:
     """Cosine and sine by position and pair."""
     angle = np.outer(np.arange(end), theta ** (-np.arange(0, dim, 2) / dim))
-    return np.cos(angle).astype(np.float32), np.sin(angle).astype(np.float32)
+    return np.cos(angle), np.sin(angle)
 
 
 def rotate(x: np.ndarray, cos: np.ndarray, sin: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ class Decoder:
         if missing := [n for n in wanted if n not in params or params[n].shape != wanted[n]]:
             raise ValueError(f"parameters missing or of another shape: {missing[:3]}")
         self.config, self.params = config, params
-        self.cos, self.sin = rotary_table(config.head_dim, config.max_seq_len, config.rope_theta)
+        self.cos, self.sin = (a.astype(params["norm"].dtype) for a in rotary_table(config.head_dim, config.max_seq_len, config.rope_theta))
 
     def attention(self, i: int, x: np.ndarray, start: int, past: tuple | None, mask: np.ndarray | None) -> tuple[np.ndarray, tuple]:
         c, p = self.config, self.params
@@ -82,7 +82,7 @@ class Decoder:
         if (keys := key_mask(mask, b, n, m, past is not None)) is not None:
             scores = np.where(keys[:, None, None, :] == 0, -np.inf, scores)
         with np.errstate(invalid="ignore"):
-            out = softmax(scores.astype(np.float32)) @ v
+            out = softmax(scores.astype(x.dtype)) @ v
         return out.transpose(0, 2, 1, 3).reshape(b, n, -1) @ p[f"layers.{i}.wo"].T, kept
 
     def forward(self, ids: np.ndarray, past: Cache | None = None, start: int = 0, mask: np.ndarray | None = None) -> tuple[np.ndarray, Cache]:

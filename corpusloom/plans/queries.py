@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -217,6 +219,21 @@ def prompt_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").alias("n_kept"), check.alias("tail_sum"))
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, octet_length(encode(text)) AS n, encode(text) AS e FROM documents),
+c AS (SELECT doc_id, n + 1 AS n_all, list_transform(range(CASE WHEN n + 1 > 32 THEN n - 32 ELSE 0 END, n), lambda i: CAST('0x' || substr(hex(e), 2 * i + 1, 2) AS INTEGER)) AS b FROM t),
+l AS (SELECT doc_id, n_all, b, CASE WHEN n_all <= 32 OR b[1] NOT BETWEEN 128 AND 191 THEN 0 WHEN b[2] NOT BETWEEN 128 AND 191 THEN 1 WHEN b[3] NOT BETWEEN 128 AND 191 THEN 2 ELSE 3 END AS cut FROM c),
+r AS (SELECT doc_id, n_all, list_concat(flatten(list_transform(range(0, cut), lambda i: [239, 191, 189])), list_slice(b, cut + 1, len(b))) AS b FROM l),
+i AS (SELECT doc_id, list_concat(CASE WHEN n_all <= 32 THEN [1] ELSE CAST([] AS INTEGER[]) END, {_ID.format(b='b')}) AS ids FROM r)
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(list_sum(list_transform(range(1, len(ids) + 1), lambda k: k * ids[k])) AS BIGINT) AS tail_sum FROM i
+""")
+def pretrain_prompt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of the mode without chat tuning: cut to its last ids, decoded, encoded again."""
+    ids = tokens.prompt_ids(template.pretrain_prompt(F.col("text")), tokens.prompt_budget(64, 32))
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
+    return docs.select("doc_id", F.size("ids").alias("n_ids"), F.aggregate(F.transform("ids", lambda v, i: (i + 1).cast("long") * v), F.lit(0).cast("long"), lambda a, x: a + x).alias("tail_sum"))
+
+
 @query("SELECT doc_id, md5(text) AS text_md5, CAST(strlen(text) AS INTEGER) AS n_ids FROM documents")
 def byte_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", tokens.byte_ids(F.col("text")).alias("ids"))
@@ -586,6 +603,63 @@ def _prompts(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", examples.byte_tokens(template.wrap_text(F.col("text")), length).alias("ids"))
 
 
+def _numeric(rows: DataFrame, run, columns: str) -> DataFrame:
+    """``run(key, matrix)`` of each row's key and vectors, as the float columns ``columns``."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def batches(found):
+        for b in found:
+            made = [run(k, np.array(v, np.float64)) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([m[i] for m in made], pa.float64()) for i in range(len(names))]], names=["k", *names])
+
+    return rows.mapInArrow(batches, "k long, " + columns)
+
+
+_WHOLE = "seq_id, vec_id % 4 AS pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM (SELECT *, vec_id // 4 AS seq_id FROM embeddings) WHERE embedding IS NOT NULL AND len(embedding) = 64"
+
+
+@query(f"""
+WITH v AS (SELECT {_WHOLE}),
+r AS (SELECT *, flatten(list_transform(range(0, 32), lambda i: [
+  x[2 * i + 1] * cos(pos * pow(1e6, -2.0 * i / 64)) - x[2 * i + 2] * sin(pos * pow(1e6, -2.0 * i / 64)),
+  x[2 * i + 1] * sin(pos * pow(1e6, -2.0 * i / 64)) + x[2 * i + 2] * cos(pos * pow(1e6, -2.0 * i / 64))])) AS q FROM v),
+s AS (SELECT a.seq_id, a.pos, exp(list_inner_product(a.q, b.q) / 8) AS w, list_sum(list_transform(range(1, 65), lambda d: d * b.x[d])) AS f FROM r a JOIN r b ON a.seq_id = b.seq_id AND b.pos <= a.pos),
+o AS (SELECT seq_id, pos, sum(w * f) / sum(w) AS f FROM s GROUP BY seq_id, pos)
+SELECT seq_id, round(sum((pos + 1) * f), 5) AS checksum FROM o GROUP BY seq_id HAVING count(*) = 4
+""")
+def attention_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal attention with rotary positions over sequences of four vectors; the projections are identities, in double precision."""
+    eye = config.ModelConfig(dim=64, n_layers=1, n_heads=1, n_kv_heads=1, vocab_size=2, hidden_dim=2, max_seq_len=4)
+    params = {n: np.eye(*shape) if n.split(".")[-1] in ("wq", "wk", "wv", "wo") else np.ones(shape) for n, shape in eye.shapes().items()}
+
+    def run(_: int, x: np.ndarray) -> tuple[float]:
+        out, _ = lm.Decoder(eye, params).attention(0, x[None], 0, None, None)
+        return (round(float((out[0] * np.arange(1, 65) * np.arange(1, 5)[:, None]).sum()), 5),)
+
+    rows = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").groupBy(F.floor(F.col("vec_id") / 4).cast("long").alias("seq_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v")).where("size(v) = 4")
+    return _numeric(rows.select("seq_id", "v.embedding"), run, "checksum double").withColumnRenamed("k", "seq_id")
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64),
+a AS (SELECT vec_id, w, list_reverse(w) AS g FROM v),
+b AS (SELECT vec_id, g, list_transform(range(1, 65), lambda i: w[i] * (1 - 0.01 * 0.01) - 0.01 * g[i] / (abs(g[i]) + 1e-8)) AS w FROM a),
+c AS (SELECT vec_id, list_transform(range(1, 65), lambda i: w[i] * (1 - 0.01 * 0.01) - 0.01 * ((0.9 * 0.1 * g[i] + 0.1 * 0.5 * w[i]) / (1 - 0.9 * 0.9))
+  / (sqrt((0.999 * 0.001 * g[i] * g[i] + 0.001 * 0.25 * w[i] * w[i]) / (1 - 0.999 * 0.999)) + 1e-8)) AS w FROM b)
+SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: i * w[i])), 5) AS checksum FROM c
+""")
+def adamw_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two updates of each vector: the first gradient is the vector reversed, the second half of what it has become."""
+    def run(_: int, w: np.ndarray) -> tuple[float]:
+        optimizer, params = train.AdamW(), {"w": w}
+        params = optimizer.step(params, {"w": w[::-1]}, 0.01)
+        params = optimizer.step(params, {"w": params["w"] / 2}, 0.01)
+        return (round(float((params["w"] * np.arange(1, 65)).sum()), 5),)
+
+    rows = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding")
+    return _numeric(rows, run, "checksum double").withColumnRenamed("k", "vec_id")
+
+
 @query(f"SELECT item_id, CAST(least({NETWORK.max_seq_len}, strlen(text) + 2) - 1 AS BIGINT) AS n_scored, true AS finite FROM benchmark")
 def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = evaluate.with_ppl(lm.score(_prompts(spark, sf_dir, NETWORK.max_seq_len), NETWORK, lm.init_params(NETWORK), "item_id"))

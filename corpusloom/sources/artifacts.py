@@ -69,7 +69,7 @@ def save_checkpoint(spark: SparkSession, path: str, params: dict[str, np.ndarray
 def load_weights(spark: SparkSession, path: str) -> DataFrame:
     """Parameters of a checkpoint folder, of a bare parameter folder, or of Parquet parameters themselves.
 
-    Parameters with ``mask`` in their name are left out.
+    Parameters with ``mask`` in their name are left out, and rows without values, which are none.
     """
     for at in (f"{path}/params", f"{path}/state_dict", path):
         if exists(spark, at):
@@ -77,10 +77,20 @@ def load_weights(spark: SparkSession, path: str) -> DataFrame:
             if {"name", "shape", "values"} <= set(found.columns):
                 if "requires_grad" not in found.columns:
                     found = found.withColumn("requires_grad", F.lit(True))
-                return found.where(~F.col("name").contains("mask")).select("name", "shape", "values", "requires_grad")
+                return found.where(~F.col("name").contains("mask") & F.col("values").isNotNull()).select("name", "shape", "values", "requires_grad")
     raise ValueError(f"no parameters in {path}")
 
 
+def matching(params: dict[str, np.ndarray], shapes: dict[str, tuple[int, ...]], strict: bool = False) -> dict[str, np.ndarray]:
+    """The parameters that ``shapes`` names. With ``strict``, missing or further names are an error; a wrong shape always is."""
+    if wrong := sorted(n for n in shapes if n in params and params[n].shape != tuple(shapes[n])):
+        raise ValueError(f"parameters of another shape: {wrong[:3]}")
+    missing, further = sorted(set(shapes) - set(params)), sorted(set(params) - set(shapes))
+    if strict and (missing or further):
+        raise ValueError(f"missing: {missing[:3]}, not known: {further[:3]}")
+    return {n: v for n, v in params.items() if n in shapes}
+
+
 def train_state(manifest: DataFrame) -> DataFrame:
     """``epoch, step, global_step, loss`` with 0, 0, 0 and infinity where a manifest has none."""
     defaults = {"epoch": F.lit(0), "step": F.lit(0), "global_step": F.lit(0).cast("long"), "loss": F.lit(float("inf"))}
@@ -128,7 +138,9 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(report_json(report).alias("value")).write.text(path)
 
 
-def log_metrics(spark: SparkSession, path: str, rows: list[tuple[str, int, int, str, float]], enabled: bool = True) -> None:
-    """Append ``run, epoch, step, metric, value`` rows to a metrics table; nothing where tracking is off."""
+def log_metrics(spark: SparkSession, path: str | None, rows: list[tuple[str, int, int, str, float]], enabled: bool = True) -> None:
+    """Append ``run, epoch, step, metric, value`` rows to a metrics table; nothing where tracking is off, an error where it is on without a place."""
+    if enabled and not path:
+        raise ValueError("tracking is on, but no metrics table is named")
     if enabled and rows:
         spark.createDataFrame(rows, "run string, epoch int, step int, metric string, value double").coalesce(1).write.mode("append").parquet(path)
