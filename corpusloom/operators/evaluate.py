@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.config import ModelConfig
 from corpusloom.functions import template
@@ -37,13 +38,32 @@ def corpus_ppl(samples: DataFrame) -> DataFrame:
     return samples.agg(F.count("*").alias("num_samples"), F.coalesce(F.sum("n_scored"), F.lit(0)).cast("long").alias("n_tokens"), micro_ppl(F.col("nll_sum"), F.col("n_scored")).alias("average_ppl"))
 
 
+def quantiles(samples: DataFrame, value: str, at: tuple[float, ...]) -> DataFrame:
+    """``q, x``: exact quantiles with linear interpolation, of at least one value, without one task that sees all values.
+
+    Values are counted by ranges of a thousandth of their logarithm; only the ranges that hold a wanted rank are sorted, each by itself.
+    """
+    v = F.col(value)
+    ranged = samples.where(v.isNotNull()).select(v.alias("x"), F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1000).alias("r"))
+    sizes = ranged.groupBy("r").agg(F.count("*").alias("n"))  # ranges of doubles: some 700,000 on either side at most
+    upto = sizes.select("r", F.sum("n").over(Window.orderBy("r")).alias("upto"), "n", F.sum("n").over(Window.partitionBy()).alias("total"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(q) * (F.col("total") - 1)).alias("place")) for q in at])).alias("w")
+    ranks = upto.select("r", (F.col("upto") - F.col("n")).alias("start"), "upto", wanted).select("r", "start", "upto", "w.q", "w.place", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    ranks = ranks.withColumn("rank", F.when(F.col("side") == 0, F.floor("place")).otherwise(F.ceil("place"))).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("upto")))
+    held = ranged.join(F.broadcast(ranks.select("r").distinct()), "r", "left_semi")  # two ranges a quantile at most
+    placed = held.select("r", "x", (F.row_number().over(Window.partitionBy("r").orderBy("x")) - 1).alias("i"))
+    found = placed.join(F.broadcast(ranks), "r").where(F.col("i") == F.col("rank") - F.col("start"))
+    share = F.col("place") - F.floor("place")
+    return found.groupBy("q").agg(F.sum(F.when(F.col("side") == 0, F.col("x") * (1 - share)).otherwise(F.col("x") * share)).alias("x"))
+
+
 def distribution(samples: DataFrame, value: str = "ppl") -> DataFrame:
     """Exact statistics of the samples that have a value; the deviation is the population's."""
     v = F.col(value)
-    quarter = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return samples.where(v.isNotNull()).agg(
-        F.avg(v).alias("mean"), quarter.alias("_q"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
-    ).select("mean", F.get("_q", F.lit(1)).alias("median"), "std", "min", "max", F.get("_q", F.lit(0)).alias("p25"), F.get("_q", F.lit(2)).alias("p75"))
+    plain = samples.where(v.isNotNull()).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    names = {0.25: "p25", 0.5: "median", 0.75: "p75"}
+    wide = quantiles(samples, value, tuple(names)).agg(*[F.max(F.when(F.col("q") == q, F.col("x"))).alias(n) for q, n in names.items()])
+    return plain.crossJoin(F.broadcast(wide)).select("mean", "median", "std", "min", "max", "p25", "p75")  # one row on either side
 
 
 def report(samples: DataFrame) -> DataFrame:

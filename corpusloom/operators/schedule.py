@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def total_steps(epochs: int, n: int, batch_size: int, accumulation: int) -> int:
+#: Rows that one task ranks, about.
+RANKED_ROWS = 1 << 16
+
+
+def total_steps(epochs: int, n: int | Column, batch_size: int, accumulation: int) -> int | Column:
+    """Updates of a run over n rows: a number, or a column of them."""
+    if isinstance(n, Column):
+        return F.greatest(F.floor(epochs * F.ceil(n / batch_size) / accumulation), F.lit(1)).cast("long")
     return max(1, epochs * -(-n // batch_size) // accumulation)
 
 
@@ -51,7 +58,8 @@ def batch_plan(rows: DataFrame, key: str, batch_size: int, seed: int, epochs: in
     """
     epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
     keyed = rows.select(key, epoch).withColumn("_order", order_key(seed, F.col("epoch"), F.col(key)))
-    ranked = global_rank(keyed, "_order", by=("epoch",))
+    digits = max(2, math.ceil(math.log(max(1, rows.count()) / RANKED_ROWS, 16)))  # as many ranges as the rows need
+    ranked = global_rank(keyed, "_order", digits, by=("epoch",))
     return ranked.select("epoch", key, "rank", F.floor(F.col("rank") / batch_size).cast("long").alias("batch_id"))
 
 

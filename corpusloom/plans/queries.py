@@ -547,14 +547,14 @@ def artifact_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parameter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = [(n, list(s)) for n, s in config.ModelConfig().shapes().items()]
     frame = spark.createDataFrame(sizes, "name string, shape array<long>").withColumn("requires_grad", ~F.col("name").contains("mask"))
-    return frame.where("requires_grad").agg(F.sum(F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)).alias("n_params"))
+    return artifacts.parameter_count(frame)
 
 
 @query("SELECT lang, CAST(greatest(1, 3 * CAST(ceil(count(*) / 8.0) AS BIGINT) // 4) AS BIGINT) AS total FROM documents GROUP BY lang")
 def total_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of three epochs over each language's documents, eight a batch, four batches an update."""
     n = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return n.select("lang", F.greatest(F.floor(F.ceil(F.col("n") / 8) * 3 / 4), F.lit(1)).cast("long").alias("total"))
+    return n.select("lang", schedule.total_steps(3, F.col("n"), 8, 4).alias("total"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id = 17")

@@ -49,7 +49,9 @@ def freeze(frame: DataFrame) -> DataFrame:
 
 
 def parameter_count(frame: DataFrame, trainable: bool = True) -> DataFrame:
-    return frame.where("requires_grad" if trainable else "true").agg(F.coalesce(F.sum(F.size("values")), F.lit(0)).cast("long").alias("n_params"))
+    """How many numbers the shapes of ``frame(shape, requires_grad)`` hold."""
+    size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
+    return frame.where("requires_grad" if trainable else "true").agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("n_params"))
 
 
 def save_checkpoint(spark: SparkSession, path: str, params: dict[str, np.ndarray], *, epoch: int = 0, step: int = 0, global_step: int = 0, loss: float = float("inf"), config: dict | None = None, optimizer: dict[str, np.ndarray] | None = None, raw: bool = False) -> None:

@@ -17,14 +17,13 @@ PREFERENCE = "struct<prompt:string,chosen:string,rejected:string>"
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no`` (from 0, by file and place) and ``value``.
 
-    Lines are numbered inside each file split and shifted by the splits before it; only the table of
-    splits is ordered as a whole. Every split is read by one task.
+    A task's ids are consecutive, so a line's place in its file split is its id less the split's smallest; only the table of splits is
+    ordered as a whole, and lines stay where they were read.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
-    inside = lines.withColumn("r", F.row_number().over(Window.partitionBy("f", "b").orderBy("m")))
     before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lines.groupBy("f", "b").agg(F.count("*").alias("n")).select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return inside.join(starts, ["f", "b"]).select((F.col("start") + F.col("r") - 1).alias("line_no"), "value")
+    splits = lines.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("m").alias("first")).select("f", "b", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(splits, ["f", "b"]).select((F.col("m") + F.col("shift")).alias("line_no"), "value")
 
 
 def is_json(value: Column) -> Column:

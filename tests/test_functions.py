@@ -183,3 +183,34 @@ def test_conversation_and_preference_lines(spark, tmp_path):
 def test_prompts_stop_at_a_quit_word(spark):
     rows = [(0, " a "), (1, ""), (2, "b"), (3, "EXIT"), (4, "c")]
     assert [r.text for r in jsonl.prompts(spark.createDataFrame(rows, "line_no long, value string")).orderBy("line_no").collect()] == ["a", "b"]
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    from corpusloom.operators import evaluate
+
+    rng = np.random.default_rng(3)
+    for values in ([5.0], [1.0, 2.0], [-3.0, 0.0, 0.0, 9.0], list(rng.lognormal(2, 1, 501)), [7.5] * 40 + [1e300, -1e300]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "ppl double").repartition(3)
+        found = {r.q: r.x for r in evaluate.quantiles(df, "ppl", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+        for q, x in found.items():
+            assert x == pytest.approx(np.quantile(values, q), rel=1e-12), (len(values), q)
+        assert len(found) == 5
+    assert evaluate.distribution(spark.createDataFrame([], "ppl double")).first()["median"] is None
+
+
+def test_lines_are_numbered_in_place_over_files_and_splits(spark, tmp_path):
+    from corpusloom.sources import jsonl
+
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    for i in range(3):
+        (tmp_path / f"part{i}.txt").write_text("\n".join(lines[i * 1000 : (i + 1) * 1000]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = jsonl.read_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 3
+        assert [(r.line_no, r.value) for r in rows.orderBy("line_no").collect()] == list(enumerate(lines))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
