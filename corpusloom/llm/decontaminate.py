@@ -24,6 +24,8 @@ AGREE = 0.8
 SHORTEST = 1
 #: Seeds in one broadcast: each row takes some 200 bytes. More seeds are sought in further passes.
 SEEDS_A_PASS = 200_000
+#: Positions of a document that are looked up together; with them go the words around them, never the whole document.
+PIECE = 256
 
 
 def words(text: Column) -> Column:
@@ -72,8 +74,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     ``n_hits`` counts verified (document position, item position) hits, ``matched`` is the most
     agreeing words in a window, ``doc_from`` to ``doc_to`` the words between the first and the last
     hit. Documents with equal ids count as one. Items with equal words are sought once and reported
-    each. Null and empty texts on either side overlap nothing. Documents are read where they lie;
-    only hits move.
+    each. Null and empty texts on either side overlap nothing; very long ones are looked up piece by piece, in the same way at every
+    place. Of windows that agree in equally many words ``matched`` is that number. Documents are read where they lie; only hits move.
     """
     prepared = staged(benchmark.select(F.col(item).alias("item"), word_hashes(F.coalesce(F.col(item_text), F.lit(""))).alias("h")).where(F.size("h") >= SHORTEST).withColumn("w", F.xxhash64("h")))
     unique = prepared.groupBy("w").agg(F.first("h").alias("h")).withColumnRenamed("w", "item")
@@ -81,28 +83,33 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     passes = max(1, -(-all_seeds.count() // SEEDS_A_PASS))
     lengths = sorted(r.n for r in prepared.where(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect())  # SPAN - SHORTEST at most
 
-    hashed = docs.select(F.col(key).alias("k"), word_hashes(F.col(text)).alias("h"))
-    # from -1 on: the first or the last word of an item of SPAN words may be the one that is missing, beyond an end of the document
-    windows = hashed.select("k", "h", F.explode(_positions(F.size("h"), SHORTEST, -1)).alias("i"))
+    # from position -1 on: the first or the last word of an item of SPAN words may be the one that is missing, beyond an end of the document
+    reach = WINDOW - SPAN
+    hashed = docs.select(F.col(key).alias("k"), word_hashes(F.col(text)).alias("h")).where(F.size("h") >= SHORTEST)
+    begin = lambda c: F.greatest(c * PIECE - 1 - reach, F.lit(0))
+    pieces = hashed.select("k", F.size("h").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("h") / PIECE).cast("int")), lambda c: F.struct(
+        (c * PIECE - 1).alias("at"), begin(c).alias("lo"), F.slice("h", begin(c) + 1, (c + 1) * PIECE + SPAN + reach - begin(c)).alias("h")
+    ))).alias("p"))
+    windows = pieces.select("k", "n", "p.lo", "p.h", F.explode(F.sequence("p.at", F.least(F.col("p.at") + PIECE, F.col("n")) - 1)).alias("i"))
+    here = F.col("i") - F.col("lo")  # the position's place in its piece
     tried = [
-        F.when((F.col("i") + m.index("1") >= 0) & (F.col("i") + m.rindex("1") < F.size("h")), _seed(F.col("h"), F.col("i"), m)) for m in MASKS
+        F.when((F.col("i") + m.index("1") >= 0) & (F.col("i") + m.rindex("1") < F.col("n")), _seed(F.col("h"), here, m)) for m in MASKS
     ]  # null, which hits nothing, where words that must agree lie beyond an end
-    tried += [F.when((F.col("i") >= 0) & (F.col("i") + m <= F.size("h")), F.xxhash64(F.lit("whole"), F.slice("h", F.greatest("i", F.lit(0)) + 1, m))) for m in lengths]
-    tried = windows.select("k", "h", "i", F.explode(F.array(*tried)).alias("seed"))
+    tried += [F.when((F.col("i") >= 0) & (F.col("i") + m <= F.col("n")), F.xxhash64(F.lit("whole"), F.slice("h", F.greatest(here, F.lit(0)) + 1, m))) for m in lengths]
+    tried = windows.select("k", "n", "lo", "h", "i", F.explode(F.array(*tried)).alias("seed"))
 
     found = None
     for p in range(passes):
         block = all_seeds.where(F.pmod("block", F.lit(passes)) == p).drop("block")
-        over = (F.col("i") < 0) | (F.col("i") + F.least("window", F.lit(SPAN)) > F.size("h"))
+        over = (F.col("i") < 0) | (F.col("i") + F.least("window", F.lit(SPAN)) > F.col("n"))
         hits = tried.join(F.broadcast(block), "seed").where(~over | (F.col("window") == SPAN))  # longer items are hit elsewhere, too; at most about SEEDS_A_PASS rows, however large the benchmark
         # null in ``there``, the document's words beside ``around``, is a place outside the document
         before = F.greatest(F.col("lead") - F.col("i"), F.lit(0))
-        there = F.concat(F.array_repeat(F.lit(None).cast("long"), before), F.slice("h", F.greatest(F.col("i") - F.col("lead"), F.lit(0)) + 1, F.size("around") - before))
-        last = F.least(F.col("i") + F.least("window", F.lit(SPAN)), F.size("h")) - 1
+        there = F.concat(F.array_repeat(F.lit(None).cast("long"), before), F.slice("h", F.greatest(F.col("i") - F.col("lead"), F.lit(0)) - F.col("lo") + 1, F.size("around") - before))
+        last = F.least(F.col("i") + F.least("window", F.lit(SPAN)), F.col("n")) - 1
         near = hits.select("k", "item", "i", "j", "window", "lead", "around", there.alias("there"), last.alias("last"))
         found = near if found is None else found.unionByName(near)
-    # one row for each place that any mask hits; what is verified above this aggregation cannot move into the join, which
-    # has to stay in one generated stage with the positions: rows that leave that stage carry no whole document
+    # one row for each place that any mask hits
     places = found.groupBy("k", "item", "i", "j", "window", "lead", "last").agg(F.first("around").alias("around"), F.first("there").alias("there"))
     starts = F.sequence(F.lit(0), F.greatest(F.least(F.col("lead"), F.size("around") - F.col("window")), F.lit(0)))
     best = places.select("k", "item", "i", "last", "window", F.array_max(F.transform(starts, _agreeing)).alias("matched"))

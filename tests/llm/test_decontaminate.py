@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate as dc
@@ -39,8 +40,10 @@ def pairs(df):
     return {(r.doc_id, r.item_id) for r in df.collect()}
 
 
-def test_planted_passages_and_replaced_words(spark, monkeypatch):
+@pytest.mark.parametrize("piece", [1, 7, 256])
+def test_planted_passages_and_replaced_words(spark, monkeypatch, piece):
     monkeypatch.setattr(dc, "SEEDS_A_PASS", 150)  # several passes
+    monkeypatch.setattr(dc, "PIECE", piece)
     rng = random.Random(2)
     vocabulary = [f"v{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([3, 5, 9, 12, 13, 20, 40, 40, 60])]
