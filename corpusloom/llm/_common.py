@@ -28,22 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-#: What this driver has staged, for :func:`clear_staged`.
+#: What this driver has staged, in order, for :func:`clear_staged` and :func:`superseded`.
 _written: list[str] = []
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete what :func:`staged` has written, once no result that was made from it is needed any more."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _written)
+    _written.clear()
+
+
+def stage_mark() -> int:
+    """How much has been staged so far, for :func:`superseded`."""
+    return len(_written)
+
+
+def superseded(spark: SparkSession, since: int) -> None:
+    """Delete what was staged since this mark but the last table, which was made from the others."""
+    _delete(spark, _written[since:-1])
+    del _written[since:-1]
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage durably: a lost executor rereads the files, and branches that use the result do not
-    recompute what led to it.
+    recompute what led to it. As its size is known when it is joined, a small table is broadcast (up to
+    ``spark.sql.autoBroadcastJoinThreshold``) and the other side stays where it is; a larger one is shuffled.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"

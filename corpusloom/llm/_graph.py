@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import staged
+from corpusloom.llm._common import stage_mark, staged, superseded
 
 #: Parts into which the rows of one key are dealt, so that a hub's rows meet in no single task.
 SALTS = 256
@@ -32,8 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step is an aggregation and a join on a node and a part of its edges, so a node with very many edges is combined
     before the shuffle and its edges are spread over tasks. The number of steps grows with the
-    logarithm of the component sizes. Each round is written to the shared folder.
+    logarithm of the component sizes. Each round is written to the shared folder, and the round before it deleted.
     """
+    mark = stage_mark()
     now = staged(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     digest = lambda e: tuple(e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     before = digest(now)
@@ -44,6 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = lower.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = staged(small.where(F.col("u") != F.col("v")).distinct())
         after = digest(now)
+        superseded(edges.sparkSession, mark)
         if after == before:
             break
         before = after

@@ -122,6 +122,6 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item. Rows are told apart by id and text; null ids are kept apart by their text."""
     mark = F.struct(F.xxhash64(F.col(key), F.col(text)).alias("a"), F.xxhash64(F.lit("row"), F.col(text), F.col(key)).alias("b"))
-    hits = find_overlaps(docs.select(mark.alias("_mark"), F.col(text).alias("_t")), benchmark, "_mark", "_t", item, item_text).select("_mark").distinct()
+    hits = staged(find_overlaps(docs.select(mark.alias("_mark"), F.col(text).alias("_t")), benchmark, "_mark", "_t", item, item_text).select("_mark").distinct())
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark.alias("_own"))
     return whole.join(hits, F.col("_own") == F.col("_mark"), "left_anti").select("row.*")

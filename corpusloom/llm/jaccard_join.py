@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import staged
+from corpusloom.llm._common import stage_mark, staged, superseded
 from corpusloom.llm._graph import attached, components
 
 SHINGLE = 5
@@ -354,17 +354,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tk"), F.coalesce(word_hashes(F.col(text)), F.array().cast("array<bigint>")).alias("words"))
     kind = docs.schema[key].dataType.simpleString()
+    spark = docs.sparkSession
     described = staged(rows.mapInArrow(_describe, f"k {kind}, tk long, cid binary, n_words long, sketch binary"))
+    mark = stage_mark()
     contents = staged(
         described.where("cid is not null").groupBy("cid")
         .agg(F.min(F.struct(F.col("k").isNull().alias("no_k"), "k", "tk")).alias("rep"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
         .select("cid", F.col("rep.k").alias("rep"), F.col("rep.tk").alias("rep_tk"), "n", "n_words", "sketch")
     )
+    searched = stage_mark()
     found = staged(components(candidates(contents)))
+    superseded(spark, searched)
     sized = found.join(contents.select("cid", "rep", "rep_tk", "n_words"), found.node == contents.cid)
     sized = attached(sized, "root", "cid", {"texts": F.count("*"), "all_words": F.sum("n_words")}, {"texts": F.sum("texts"), "all_words": F.sum("all_words")})
     blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("all_words") / BLOCK_WORDS)).cast("int")
-    sought = sized.select("root", blocks.alias("blocks"), "cid", "rep", "rep_tk")
+    sought = staged(sized.select("root", blocks.alias("blocks"), "cid", "rep", "rep_tk"))
     wanted = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tk"), F.col(text).alias("t")).join(sought, (F.col("tk") == F.col("rep_tk")) & F.col("k").eqNullSafe(F.col("rep")))
     sets = wanted.select("root", "blocks", "cid", word_hashes(F.col("t")).alias("words")).mapInArrow(_sets, "root binary, blocks int, cid binary, shingles array<long>")
     b = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
@@ -378,7 +382,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = contents.select("cid", "rep", "n").join(linked, "cid", "left").select(
         "cid", F.coalesce("class_rep", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies")
     )
-    return described.select("k", "tk", "cid"), staged(texts)
+    texts = staged(texts)
+    superseded(spark, mark)
+    return described.select("k", "tk", "cid"), texts
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -400,7 +406,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows, texts = near_duplicates(docs, key, text)
     first = rows.where("cid is not null").join(texts.select("cid", "class_id"), "cid").where(F.col("k").eqNullSafe(F.col("class_id")))
     # of rows that share the class's smallest key, the one with the smallest text hash
-    chosen = first.groupBy("class_id").agg(F.min("tk").alias("_tk"), F.count("*").alias("_n"))
+    chosen = staged(first.groupBy("class_id").agg(F.min("tk").alias("_tk"), F.count("*").alias("_n")))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("own"), F.col(key).alias("k"), F.col(text).alias("t"))
     marked = own.join(chosen, (F.col("own") == F.col("_tk")) & F.col("k").eqNullSafe(F.col("class_id")), "left")
     worded = F.size(F.filter(F.split(F.coalesce("t", F.lit("")), r"\s+"), lambda w: w != "")) > 0

@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id"
         .where(F.trim("line") != "")
         .select("k1", "k2", "doc", F.col("site").cast("string").alias("site"), _h1(F.col("line")).alias("h1"), F.xxhash64(F.lit("line"), F.trim("line")).alias("h2"))
     )
-    removed = (
+    removed = staged(
         lines.join(boilerplate(lines, min_sites), ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keep_doc")))
         .groupBy("k1", "k2").agg(F.collect_set("h1").alias("gone"))
         .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("gone").alias("_gone"))

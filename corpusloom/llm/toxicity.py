@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import staged
+from corpusloom.llm._common import stage_mark, staged, superseded
 
 #: Most labelled rows that training uses.
 SAMPLE_ROWS = 20_000
@@ -349,6 +349,7 @@ def _near_copy_keys(words: Column) -> Column:
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
     """``t, y, fold`` of at most ``rows`` labelled rows; of texts that share a near-copy key, one."""
+    mark = stage_mark()
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y"))
         .orderBy(F.xxhash64(F.lit("toxicity"), "k"), "k").limit(rows)
@@ -361,7 +362,9 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     for i in range(3):
         one = one.groupBy(F.col("m")[i]).agg(F.min("row").alias("row"), F.min_by("m", "row").alias("m")).select("row", "m")
     kept = found.join(F.broadcast(one.select(F.col("row.r").alias("r"))), F.col("row.r") == F.col("r"))
-    return staged(kept.repartition("r").select("t", "y", F.pmod("row.h", F.lit(FOLDS)).cast("int").alias("fold")))  # dealt evenly: three passes follow
+    sample = staged(kept.repartition("r").select("t", "y", F.pmod("row.h", F.lit(FOLDS)).cast("int").alias("fold")))  # dealt evenly: three passes follow
+    superseded(docs.sparkSession, mark)
+    return sample
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
