@@ -119,7 +119,8 @@ def pack(docs: DataFrame, length: Column, key: str = "doc_id", source: str = "so
 
     A document longer than ``capacity`` is cut; all its pieces but the last fill bins of their own. No
     bin has two pieces of one cluster, or more of one source than its quota (null ones conflict with nothing). Documents of length
-    0 or null get one row of length 0 without a bin. Rows that repeat are packed each.
+    0 or null get one row of length 0 without a bin. Rows that repeat are packed each. Pieces of equal length are taken in an order that, like
+    the shard a row goes to, depends on where the rows lie in the input; another layout of the same rows may pack them otherwise.
     """
     cluster = F.lit(None).cast("long") if cluster is None else cluster
     pieces = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), cluster.alias("c"), F.coalesce(length, F.lit(0)).cast("int").alias("total"))

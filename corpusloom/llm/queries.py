@@ -24,9 +24,9 @@ WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FR
 b AS (SELECT trim(line, ' ') AS line, min(doc_id) AS keep FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
 d AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 k AS (SELECT d.*, b.line IS NOT NULL AND d.doc_id <> b.keep AS gone FROM d LEFT JOIN b ON trim(d.line, ' ') = b.line)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-  md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_md5
-FROM k GROUP BY doc_id
+SELECT t.doc_id, CASE WHEN coalesce(any_value(t.text), '') = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  CASE WHEN any_value(t.text) IS NOT NULL THEN md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) END AS text_md5
+FROM documents t LEFT JOIN k USING (doc_id) GROUP BY t.doc_id
 """
 
 

@@ -44,3 +44,17 @@ def test_estimates_far_from_the_threshold_are_enough(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     left = {r.row.text for r in ld.dedup_lines(df, 10).where("row.doc_id not in (0, 2000)").collect()}
     assert left == {"", "near"}
+
+
+def test_sql_agrees_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.llm import queries
+
+    rows = [(1, None, None), (2, "", "s1"), (3, " \n\n", "s2"), (4, "own", None)] + [(10 + i, f"shared by all\nown {i}", f"s{i}") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.op1_line_dedup(spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.OP1_SQL})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) == 16
