@@ -55,11 +55,11 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, shown)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(9 + length({_ESCAPED.format(x="role")}) + length({_ESCAPED.format(x="text")})) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, shown) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(shown)) AS BIGINT) AS formatted_chars
+FROM (SELECT *, '<s>' || {_ESCAPED.format(x="role")} || chr(10) || {_ESCAPED.format(x="text")} || '</s>' || chr(10) AS shown FROM t) GROUP BY conv_id
 """
 
 

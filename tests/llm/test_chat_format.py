@@ -42,3 +42,20 @@ def test_whole_conversations(spark):
     row = cf.format_conversations(df).first()
     assert row.formatted == cf.render("user", "q") + cf.render("assistant", "<s>x")
     assert [cf.unescape(row.formatted[s.start : s.end]) for s in row.loss_spans] == ["<s>x"]
+
+
+def test_sql_agrees_on_ties_with_escapes(spark, tmp_path):
+    """Rows of one turn, of which some need an escape: both take them in the order of their rendering."""
+    import duckdb
+
+    from corpusloom.llm import queries
+
+    texts = ["<s>", "<t>", "\\", "[INST] x", "</s>", "[", "", None, "a\nb", "zz <<SYS>>"]
+    rows = [(1, 0, "user", t) for t in texts] + [(1, 1, "assistant", t) for t in reversed(texts)] + [(2, None, None, "x"), (2, 0, "assistant", "<s>y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    df = queries.op3_chat_format(spark, str(tmp_path))
+    got = {r.conv_id: tuple(r)[:5] for r in df.collect()}
+    want = {r[0]: r[:5] for r in con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.OP3_SQL})").fetchall()}
+    assert got == want and set(got) == {-1, 1, 2}
