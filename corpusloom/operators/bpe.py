@@ -145,9 +145,13 @@ def encode(rows: DataFrame, spec: str, text: str, out: str = "ids") -> DataFrame
     shared = rows.sparkSession.sparkContext.broadcast(spec)  # as large as the vocabulary
 
     def ids(batches):
+        import pandas as pd
+
         tok = _library(shared.value)
         for b in batches:
-            yield b.map(lambda t: tok.encode(t, add_special_tokens=False).ids if t is not None else None)
+            there = b.notna()
+            coded = iter(tok.encode_batch(b[there].tolist(), add_special_tokens=False))
+            yield pd.Series([next(coded).ids if x else None for x in there], index=b.index, dtype=object)
 
     return rows.withColumn(out, F.pandas_udf(_typed(ids), "array<int>")(text))
 
