@@ -6,8 +6,8 @@ that is significant in documents and in tokens scores the lower end of its log-o
 a longer one says nothing of its own and is left out. A token scores its best feature, or ``drift``: what a token without any says
 against toxicity, so that how densely toxic tokens stand counts. A linear-time scan finds every maximal scoring segment of a
 text. A segment's significance follows the extreme-value law ``p = 1 - exp(-K n exp(-lambda S))`` with
-lambda and K fitted on clean rows. Significant segments are passages; the strongest segment's ``log p`` and the density of scores
-give a probability by a logistic fit. Drift, lambda, K and the fit are taken from rows whose scores come from the other folds.
+lambda and K fitted on clean rows. Significant segments are passages. Only features of at least ``STRONG`` log-odds make segments; weaker ones
+count in density alone. The strongest segment's ``log p`` and the density of scores give a probability by a logistic fit. Drift, lambda, K and the fit are taken from rows whose scores come from the other folds.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SAMPLE_ROWS = 20_000
 PRIOR_ROWS, PRIOR_TOKENS, FLAT = 100.0, 1000.0, 0.5
 #: Letters of a gram, marks included; whole marked words are features at any length.
 GRAMS = range(2, 8)
-#: Toxic rows that a feature needs; its z-value, by rows and by tokens; its log-odds.
-LEAST, Z_MIN, ODDS_MIN = 4, 4.0, 1.5
+#: Toxic rows that a feature needs; its z-value, by rows and by tokens; its log-odds; the log-odds from which it makes segments.
+LEAST, Z_MIN, ODDS_MIN, STRONG = 4, 4.0, 0.7, 1.5
 #: z-value by tokens from which a gram is counted by rows.
 Z_LIKELY = 3.0
 #: Tokens score the lower end of their log-odds, so many standard deviations below the estimate.
@@ -42,6 +42,8 @@ LOWER = 1.64
 MOST_SCORE = 8.0
 #: A gram of which a longer one has this share of toxic rows is left out.
 CLOSED = 0.95
+#: A clean token must lose this many times what clean tokens gain on average.
+GAIN = 1.5
 FOLDS = 4
 RIDGE = 1.0
 #: The strongest evidence (-log p) that still counts.
@@ -126,6 +128,11 @@ class _Scores(dict):
         return s
 
 
+def strong(found: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """The hits that can make a segment."""
+    return [h for h in found if h[1] >= STRONG]
+
+
 @dataclass
 class Model:
     """What scoring needs; ``grams`` and ``pairs`` are as many as the bounded sample has significant ones."""
@@ -135,7 +142,7 @@ class Model:
     drift: float = -0.02
     lam: float = 1.0
     k: float = 0.1
-    weights: tuple[float, float, float] = (1.0, 0.0, -5.0)
+    weights: tuple[float, ...] = (1.0, 0.0, 0.0, -5.0)
 
     def __post_init__(self) -> None:
         self._scores = _Scores(self.grams)
@@ -166,20 +173,21 @@ class Model:
     def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
         """Every significant passage: first and last token, score, p."""
         found, n = self.hits(text)
-        return [(a, b, s, math.exp(lp)) for a, b, s in maximal_segments(found, self.drift) if (lp := self.log_p(s, n)) <= math.log(P_PASSAGE)]
+        return [(a, b, s, math.exp(lp)) for a, b, s in maximal_segments(strong(found), self.drift) if (lp := self.log_p(s, n)) <= math.log(P_PASSAGE)]
 
-    def evidence(self, found: list[tuple[int, float]], n: int) -> tuple[tuple[float, float], int, tuple[int, int] | None]:
-        """Strongest segment's ``-log p`` and density of scores; how many passages there are, where the strongest is."""
+    def evidence(self, found: list[tuple[int, float]], n: int) -> tuple[tuple[float, float, float], int, tuple[int, int] | None]:
+        """Strongest segment's ``-log p`` and the density of strong and of all scores; how many passages there are, where the strongest is."""
         if not found:
-            return (0.0, 0.0), 0, None
-        strength = sorted((self.log_p(s, n), a, b) for a, b, s in maximal_segments(found, self.drift))
+            return (0.0, 0.0, 0.0), 0, None
+        dense = lambda hits: math.log1p(1000 * sum(s for _, s in hits) / (n + 20))
+        most = strong(found)
+        strength = sorted((self.log_p(s, n), a, b) for a, b, s in maximal_segments(most, self.drift))
         passages = sum(lp <= math.log(P_PASSAGE) for lp, *_ in strength)
-        x = min(-strength[0][0], MOST_EVIDENCE) / 10, math.log1p(1000 * sum(s for _, s in found) / (n + 20))
+        x = min(-strength[0][0], MOST_EVIDENCE) / 10 if strength else 0.0, dense(most), dense(found)
         return x, passages, strength[0][1:] if passages else None
 
-    def probability(self, x: tuple[float, float]) -> float:
-        a, b, c = self.weights
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x[0] + b * x[1] + c))))
+    def probability(self, x: tuple[float, ...]) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w * v for w, v in zip(self.weights, (*x, 1.0), strict=True))))))
 
 
 def _odds(toxic, clean, n_toxic: float, n_clean: float, prior: float, rest: float, log, most):
@@ -324,7 +332,7 @@ def _extreme_value(clean: list[tuple[list[tuple[int, float]], int]], n_bare: int
     for _ in range(80):  # the positive root of sum p(s) exp(lambda s) = 1
         mid = (low + high) / 2
         low, high = (mid, high) if p0 * math.exp(drift * mid) + sum(p * math.exp(s * mid) for s, p in steps) < 1 else (low, mid)
-    best = [(n, max(s for *_, s in maximal_segments(found, drift))) for found, n in clean]
+    best = [(n, max((s for *_, s in maximal_segments(found, drift)), default=0.0)) for found, n in clean]
     return low, (len(best) + n_bare + 1) / (sum(n * math.exp(-low * s) for n, s in best) + tokens_bare + 1)  # most likely K for the maxima
 
 
@@ -400,15 +408,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     models = spark.sparkContext.broadcast([Model(*selected([f for f in all_folds if f != fold])) for fold in all_folds])
     seen = sample.select("t", "y", "fold").mapInArrow(_find_hits(models), "y int, m long, n long, places array<int>, scores array<double>").collect()  # hits of at most ``rows`` rows
     hit = [(list(zip(r.places, r.scores, strict=True)), r.n, r.y) for r in seen if r.places]
+    firm = [(strong(h), n, y) for h, n, y in hit]
     bare = {y: (sum(r.m for r in seen if not r.places and r.y == y), sum(r.n for r in seen if not r.places and r.y == y)) for y in (0, 1)}
-    hits = [sum(len(h) for h, _, y in hit if y == c) for c in (0, 1)]
+    hits = [sum(len(h) for h, _, y in firm if y == c) for c in (0, 1)]
     n_tokens = [sum(n for _, n, y in hit if y == c) + bare[c][1] + 1 for c in (0, 1)]
-    gained = sum(s for h, _, y in hit if not y for _, s in h) / n_tokens[0]
+    gained = sum(s for h, _, y in firm if not y for _, s in h) / n_tokens[0]
     # the log-odds of a token without a feature; a clean text must lose on average
-    drift = min(-0.01, math.log((1 - hits[1] / n_tokens[1]) / (1 - hits[0] / n_tokens[0])) if hits[1] < n_tokens[1] and hits[0] < n_tokens[0] else -0.01, -1.5 * gained)
-    lam, k = _extreme_value([(h, n) for h, n, y in hit if not y], *bare[0], drift)
+    drift = min(-0.01, math.log((1 - hits[1] / n_tokens[1]) / (1 - hits[0] / n_tokens[0])) if hits[1] < n_tokens[1] and hits[0] < n_tokens[0] else -0.01, -GAIN * gained)
+    lam, k = _extreme_value([(h, n) for h, n, y in firm if not y], *bare[0], drift)
     model = Model(grams_, pairs_, drift, lam, k)
-    x = np.array([model.evidence(h, n)[0] for h, n, _ in hit] + [(0.0, 0.0)] * 2)
+    x = np.array([model.evidence(h, n)[0] for h, n, _ in hit] + [(0.0, 0.0, 0.0)] * 2)
     y, weight = np.array([float(y) for *_, y in hit] + [0.0, 1.0]), np.array([1.0] * len(hit) + [bare[0][0], bare[1][0]])
     return Model(grams_, pairs_, drift, lam, k, _fit_logistic(x, y, weight))
 
