@@ -1,33 +1,25 @@
 """Byte-level BPE: distributed pre-token counts, merge training on the counts, Arrow-batched encoding.
 
-Only counting sees the corpus. The merge loop runs over all distinct pre-tokens on the driver, which has to have room for
-them; none is left out.
+Only counting sees the corpus. The merges are learned on all distinct pre-tokens, of which every task of a barrier stage holds
+a share (``merges.py``); the driver gets the merges.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
-from array import array
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import SPECIALS, byte_id
+from corpusloom.operators import merges as merging
+from corpusloom.operators.merges import alphabet
 
 #: The published pre-token pattern of byte-level BPE. (?U): character classes follow Unicode.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def alphabet() -> dict[int, str]:
-    """Byte -> printable character: bytes that print stand for themselves, the others follow from 256 on."""
-    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
 
@@ -38,56 +30,8 @@ def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def learn_merges(words: Iterable[tuple[str, int]], n_merges: int) -> list[tuple[str, str]]:
-    """The ``n_merges`` most frequent pairs one after the other; of equally frequent ones the smaller pair.
-
-    Pair counts are kept up to date by the words that hold a merged pair, and read from a heap whose stale entries are
-    skipped, like the numbers of words that have lost a pair since.
-    """
-    to_char = alphabet()
-    parts, freq = [], array("q")
-    for w, n in words:
-        parts.append([to_char[b] for b in w.encode()])
-        freq.append(n)
-    counts: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], array] = defaultdict(lambda: array("q"))
-    for i, p in enumerate(parts):
-        for pair in zip(p, p[1:]):
-            counts[pair] += freq[i]
-            where[pair].append(i)
-    heap = [(-n, pair) for pair, n in counts.items()]
-    heapq.heapify(heap)
-    merges: list[tuple[str, str]] = []
-    while heap and len(merges) < n_merges:
-        n, pair = heapq.heappop(heap)
-        if counts.get(pair, 0) != -n or n == 0:
-            continue
-        merges.append(pair)
-        changed: set[tuple[str, str]] = set()
-        for i in where.pop(pair):
-            old, new, j = parts[i], [], 0
-            while j < len(old):
-                if j + 1 < len(old) and (old[j], old[j + 1]) == pair:
-                    new.append(old[j] + old[j + 1])
-                    j += 2
-                else:
-                    new.append(old[j])
-                    j += 1
-            if len(new) == len(old):
-                continue
-            had = set(zip(old, old[1:]))
-            for p in zip(old, old[1:]):
-                counts[p] -= freq[i]
-                changed.add(p)
-            for p in zip(new, new[1:]):
-                counts[p] += freq[i]
-                if p not in had:
-                    where[p].append(i)
-                changed.add(p)
-            parts[i] = new
-        for p in changed:
-            if counts[p] > 0:
-                heapq.heappush(heap, (-counts[p], p))
-    return merges
+    """The ``n_merges`` most frequent pairs one after the other; of equally frequent ones the smaller pair."""
+    return merging.from_words(words, n_merges)
 
 
 def build_vocab(merges: list[tuple[str, str]]) -> dict[str, int]:
@@ -102,9 +46,7 @@ def train(docs: DataFrame, vocab_size: int = 6400, text: str = "text") -> tuple[
     """Vocabulary and merges; ids 0 to 2 are the specials."""
     if vocab_size < 256 + len(SPECIALS):
         raise ValueError("a vocabulary holds the specials and all bytes at least")
-    rows = pretoken_counts(docs, text).toArrow()
-    words = ((token, n) for b in rows.to_batches() for token, n in zip(b["token"].to_pylist(), b["n"].to_pylist(), strict=True))
-    merges = learn_merges(words, vocab_size - 256 - len(SPECIALS))
+    merges = merging.from_counts(pretoken_counts(docs, text), vocab_size - 256 - len(SPECIALS))
     vocab = build_vocab(merges)
     assert [vocab[s] for s in SPECIALS] == [0, 1, 2]
     return vocab, merges

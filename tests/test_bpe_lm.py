@@ -157,3 +157,24 @@ def test_merges_equal_plain_counting():
     rng = random.Random(4)
     words = [("".join(rng.choices("aab", k=rng.randrange(1, 9))), rng.randrange(1, 5)) for _ in range(150)]
     assert bpe.learn_merges(words, 60) == plain_merges(words, 60)
+
+
+def test_merges_of_many_tasks_equal_plain_counting(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choices("aabc", k=rng.randrange(1, 9))): rng.randrange(1, 5) for _ in range(150)} | {"a" * 701: 1, "ab" * 300: 2}
+    rows = [(w,) for w, n in words.items() for _ in range(n)]
+    want = plain_merges(list(words.items()), 120)
+    assert bpe.train(spark.createDataFrame(rows, "text string").repartition(3), 259 + 120)[1] == want
+    assert bpe.train(spark.createDataFrame([("ab",), (None,), ("",)], "text string"), 259 + 120)[1] == [("a", "b")]
+    assert bpe.train(spark.createDataFrame([(None,)], "text string"), 259 + 120)[1] == []
+
+
+def test_the_driver_holds_no_words(spark):
+    import tracemalloc
+
+    docs = spark.range(200_000).selectExpr("concat_ws(' ', translate(cast(id AS string), '0123456789', 'abcdefghij'), 'x') AS text")
+    tracemalloc.start()
+    bpe.train(docs, 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6, peak
