@@ -178,3 +178,20 @@ def test_the_driver_holds_no_words(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8e6, peak
+
+
+def test_the_encoding_query_holds_no_words_on_the_driver(spark, tmp_path):
+    import hashlib
+    import tracemalloc
+
+    from corpusloom.plans import queries as plans
+
+    spark.range(100_000).selectExpr("concat(translate(cast(id AS string), '0123456789', 'abcdefghij'), ' the') AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = ["abc the jihg the", "the the", "é the 12"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tracemalloc.start()
+    got = plans.QUERIES["bpe_encode"](spark, str(tmp_path)).collect()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(map(tuple, got)) == [(i, hashlib.md5(t.encode()).hexdigest(), True) for i, t in enumerate(texts)]
+    assert peak < 12e6, peak
